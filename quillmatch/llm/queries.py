@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmatch.llm import chat_collapse, quality_lines
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,10 +31,48 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmatch.llm.html_paths import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.formatted(_table(spark, sf_dir, "conversations"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.quality(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmatch.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmatch.llm.toxicity_gru import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmatch.llm.langid_mixture import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
+    "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
+    "op5_quality": op5_quality,
+    "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_embedding": op10_embedding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_chat": chat_collapse.ORACLE_SQL, "op5_quality": quality_lines.ORACLE_SQL}
