@@ -14,11 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.wordtable import WordTable, batches_of
+from quillmatch.llm.wordtable import WordTable, batches_of, gram_buckets
 
 SAMPLE = 12_000  #: Labelled documents that the n-gram models are counted on, at most about.
 BUCKETS = 1 << 16  #: Hash buckets of n-grams.
@@ -31,14 +30,8 @@ PENALTY = 3.0  #: Log-likelihood that each further language has to bring, times
 _TABLES: dict[str, WordTable] = {}
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the n-grams of a word's letters, with its ends marked; none for a word without letters."""
-    letters = "".join(filter(str.isalpha, word.lower()))
-    if not letters:
-        return []
-    full = f"^{letters[:40]}$" if len(letters) > 40 else f"^{letters}$"
-    digest = xxhash.xxh32_intdigest
-    return [digest(full[i : i + n], n) % BUCKETS for n in ORDERS for i in range(len(full) - n + 1)]
+def letters(word: str) -> str:
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -50,11 +43,15 @@ def counts(docs: DataFrame) -> DataFrame:
                 words: Counter = Counter()
                 for text in own["text"]:
                     words.update(text.split())
-                total = np.zeros(BUCKETS, np.int64)
-                for word, n in words.items():
-                    np.add.at(total, grams(word), n)
+                total = np.zeros(BUCKETS)
+                names = list(words)
+                for a in range(0, len(names), 50_000):
+                    flat, sizes = gram_buckets(list(map(letters, names[a : a + 50_000])), ORDERS, BUCKETS)
+                    times = np.fromiter(map(words.__getitem__, names[a : a + 50_000]), np.int64)
+                    total += np.bincount(flat, np.repeat(times, sizes), BUCKETS)
+                total[0] = 0  # words without letters
                 some = np.flatnonzero(total)
-                yield pd.DataFrame({"lang": lang, "gram": some, "n": total[some]})
+                yield pd.DataFrame({"lang": lang, "gram": some, "n": total[some].astype(np.int64)})
 
     return docs.select("text", "lang").mapInPandas(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -78,18 +75,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
 def word_likelihoods(words: list[str], logs: np.ndarray) -> np.ndarray:
     """Each word's likelihood under each language up to a factor, and in a last column if it has letters."""
-    out = np.zeros((len(words), logs.shape[1] + 1), np.float32)
-    found = [grams(w) for w in words]
-    sizes = np.array(list(map(len, found)))
-    some = np.flatnonzero(sizes)
-    if len(some):
-        flat = np.array([g for gs in found for g in gs])
-        starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
-        logp = SHARPNESS * np.add.reduceat(logs[flat], starts, axis=0)
-        p = np.exp(logp - logp.max(axis=1, keepdims=True)) + 1e-5
-        out[some, :-1] = p / p.sum(axis=1, keepdims=True)
-        out[some, -1] = 1
-    return out
+    plain = list(map(letters, words))
+    flat, sizes = gram_buckets(plain, ORDERS, BUCKETS)
+    logp = SHARPNESS * np.add.reduceat(logs[flat], np.cumsum(sizes) - sizes, axis=0)
+    p = np.exp(logp - logp.max(axis=1, keepdims=True)) + 1e-5
+    has = np.fromiter(map(bool, plain), np.float32, len(plain))[:, None]
+    return np.concatenate([has * p / p.sum(axis=1, keepdims=True), has], axis=1).astype(np.float32)
 
 
 def mixtures(p: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:

@@ -16,13 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.wordtable import WordTable, batches_of
+from quillmatch.llm.wordtable import WordTable, batches_of, gram_buckets, row_sums
 
-PER_LABEL = 2_500  #: Labelled documents of each label that are trained on, at most.
+PER_LABEL = 1_200  #: Labelled documents of each label that are trained on, at most.
 TRAIN_WINDOWS = 40  #: Windows of one training document, spread over it, at most (scoring takes all).
 WINDOW, STRIDE = 32, 24
 HIDDEN = 8
@@ -30,19 +29,13 @@ WORD_DIM = CHAR_DIM = 8
 CHAR_BUCKETS = 1 << 13
 LEAST_DOCS = 3  #: Training documents that a word has to be in to get an embedding of its own.
 WORDS = 20_000  #: Words with an embedding of their own, at most.
-EPOCHS, DOCS_A_STEP, RATE = 12, 32, 0.01
+EPOCHS, DOCS_A_STEP, RATE = 6, 32, 0.01
 
 _TABLES: dict[str, WordTable] = {}
 
 
 def normal(word: str) -> str:
-    return "".join(filter(str.isalnum, word.lower()))[:40]
-
-
-def char_grams(word: str) -> list[int]:
-    full = f"^{word}$"
-    digest = xxhash.xxh32_intdigest
-    return [1 + digest(full[i : i + n], n) % (CHAR_BUCKETS - 1) for n in (3, 4, 5) for i in range(len(full) - n + 1)]
+    return word.lower() if word.isalnum() else "".join(filter(str.isalnum, word.lower()))
 
 
 @dataclass
@@ -61,20 +54,20 @@ class Model:
         p["E"][0] = 0
         return cls(words, p)
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Input vectors of words, and what their gradient needs: word rows, n-gram rows, n-gram owners."""
-        plain = [normal(w) for w in words]
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the network sees of words: their embedding's row (0: none), their n-grams one after the other, how many each has."""
+        plain = list(map(normal, words))
         own = np.array([self.words.get(w, 0) for w in plain], np.int64)
-        found = [char_grams(w) if w else [0] for w in plain]
-        sizes = np.array(list(map(len, found)), np.int64)
-        flat = np.array([g for gs in found for g in gs], np.int64)
-        starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-        chars = np.add.reduceat(self.p["C"][flat], starts, axis=0) / np.sqrt(sizes)[:, None]
-        return np.concatenate([self.p["E"][own], chars], axis=1).astype(np.float32), own, flat, sizes
+        return own, *gram_buckets(plain, (3, 4, 5), CHAR_BUCKETS)
+
+    def inputs(self, own: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        starts = np.cumsum(sizes) - sizes
+        chars = np.add.reduceat(self.p["C"][flat], starts, axis=0) / np.sqrt(sizes)[:, None].astype(np.float32)
+        return np.concatenate([self.p["E"][own], chars], axis=1).astype(np.float32)
 
     def projected(self, words: list[str]) -> np.ndarray:
         """Gate inputs of words in both directions, side by side."""
-        x = self.inputs(words)[0]
+        x = self.inputs(*self.known(words))
         return np.concatenate([x @ self.p["W"][k] + self.p["B"][k] for k in (0, 1)], axis=1)
 
     def logits(self, gates: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -113,10 +106,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def gradient(model: Model, words: list[str], at: np.ndarray, mask: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradient of documents given as windows (``at`` into ``words``, ``owner``: document of a window)."""
+def gradient(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, mask: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
+    """Loss and gradient of documents given as windows (``at`` into the words ``seen``, ``owner``: document of a window)."""
     p, h = model.p, HIDDEN
-    x, own, flat, sizes = model.inputs(words)
+    own, flat, sizes = seen
+    x = model.inputs(own, flat, sizes)
     n, steps = at.shape
     kept, scores = [], []
     for k in (0, 1):
@@ -145,9 +139,8 @@ def gradient(model: Model, words: list[str], at: np.ndarray, mask: np.ndarray, o
     odds = np.exp(logit - top[owner])
     total = np.bincount(owner, odds, docs)
     s = top + np.log(total)
-    weight = np.where(label > 0, 1.0, 1.0)
-    loss = float((weight * (np.logaddexp(0, s) - label * s)).mean())
-    d_logit = ((weight * (_sigmoid(s) - label) / docs)[owner] * odds / total[owner]).astype(np.float32)
+    loss = float((np.logaddexp(0, s) - label * s).mean())
+    d_logit = (((_sigmoid(s) - label) / docs)[owner] * odds / total[owner]).astype(np.float32)
     grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("E", "C")}
     grad["c"][0] = d_logit.sum()
     dx = np.zeros_like(x)
@@ -155,7 +148,7 @@ def gradient(model: Model, words: list[str], at: np.ndarray, mask: np.ndarray, o
     for k in (0, 1):
         grad["o"][k] = pooled[k].T @ d_logit
         d_state = np.zeros((n, h), np.float32)
-        d_gates = np.zeros((len(words), 3 * h), np.float32)
+        d_steps = np.zeros((steps, n, 3 * h), np.float32)
         u = p["U"][k]
         for i in range(steps - 1, -1, -1):
             t, state, z, r, c, m, new = kept[k][i]
@@ -173,7 +166,8 @@ def gradient(model: Model, words: list[str], at: np.ndarray, mask: np.ndarray, o
             d_state = d_state + d_rs * r + d_zr @ u[:, : 2 * h].T
             grad["U"][k][:, : 2 * h] += state.T @ d_zr
             grad["U"][k][:, 2 * h :] += (r * state).T @ d_c
-            np.add.at(d_gates, at[:, t], np.concatenate([d_zr, d_c], axis=1))
+            d_steps[t, :, : 2 * h], d_steps[t, :, 2 * h :] = d_zr, d_c
+        d_gates = row_sums(at.T.ravel(), d_steps.reshape(-1, 3 * h), len(own))
         grad["W"][k] = x.T @ d_gates
         grad["B"][k] = d_gates.sum(0)
         dx += d_gates @ p["W"][k].T
@@ -194,8 +188,7 @@ class Adam:
         for k, g in grad.items():
             if isinstance(g, tuple):  # rows of a table
                 rows, inverse = np.unique(g[0], return_inverse=True)
-                value = np.zeros((len(rows), g[1].shape[1]), np.float32)
-                np.add.at(value, inverse, g[1])
+                value = row_sums(inverse, g[1], len(rows))
                 if k == "E":
                     value[rows == 0] = 0
                 m = self.m[k][rows] = 0.9 * self.m[k][rows] + 0.1 * value
@@ -233,6 +226,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     rng, adam = np.random.default_rng(seed), Adam(model.p, RATE)
     y = np.array(labels, np.float32)
     steps = np.arange(WINDOW)
+    vocabulary: dict[str, int] = {}
+    rows_of = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int64) for own in split]
+    own, flat, sizes = model.known(list(vocabulary))
+    starts = np.cumsum(sizes) - sizes
     for epoch in range(epochs):
         adam.rate = RATE * (1 if epoch < epochs * 0.6 else 0.3)
         order = rng.permutation(len(texts))
@@ -240,19 +237,17 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             chosen = [i for i in order[a : a + DOCS_A_STEP] if split[i]]
             if not chosen:
                 continue
-            vocabulary: dict[str, int] = {}
-            at = np.array([vocabulary.setdefault(w, len(vocabulary)) for i in chosen for w in split[i]], np.int64)
-            first, size, doc = windows(np.array([len(split[i]) for i in chosen]))
+            at = np.concatenate([rows_of[i] for i in chosen])
+            first, size, doc = windows(np.array([len(rows_of[i]) for i in chosen]))
             per = np.bincount(doc, minlength=len(chosen))
             keep = rng.random(len(doc)) < (TRAIN_WINDOWS / per)[doc]
             keep[np.r_[True, doc[1:] != doc[:-1]]] = True
             first, size, doc = first[keep], size[keep], doc[keep]
             mask = (steps[None, :] < size[:, None]).astype(np.float32)
-            rows = at[np.minimum(first[:, None] + steps, len(at) - 1)]
-            # Only words in some window take part.
-            used, rows = np.unique(rows, return_inverse=True)
-            names = list(vocabulary)
-            _, grad = gradient(model, [names[u] for u in used], rows.reshape(mask.shape), mask, doc, y[chosen])
+            used, rows = np.unique(at[np.minimum(first[:, None] + steps, len(at) - 1)], return_inverse=True)
+            n = sizes[used]
+            grams = flat[np.repeat(starts[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            _, grad = gradient(model, (own[used], grams, n), rows.reshape(mask.shape), mask, doc, y[chosen])
             adam.step(grad)
     return model
 

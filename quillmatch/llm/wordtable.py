@@ -47,6 +47,45 @@ class WordTable(dict):
         return np.array(words, np.int64), ends
 
 
+def gram_buckets(words: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets (from 1) of all character n-grams of words, ends marked, word after word; and how many each word has.
+
+    An empty word has the one bucket 0.
+    """
+    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(words)), size)
+    room = end[owner] - np.arange(len(chars))
+    some = (size > 2)[owner]
+    flat, owners = [], []
+    for n in orders:
+        at = np.flatnonzero(some & (room >= n))
+        h = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            h = (h ^ chars[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        flat.append((h >> np.uint64(32)) % np.uint64(buckets - 1) + np.uint64(1))
+        owners.append(owner[at])
+    empty = np.flatnonzero(size == 2)
+    flat.append(np.zeros(len(empty), np.uint64))
+    owners.append(empty)
+    who = np.concatenate(owners)
+    order = np.argsort(who, kind="stable")
+    return np.concatenate(flat)[order].astype(np.int64), np.bincount(who, minlength=len(words))
+
+
+def row_sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``index``, for 0 to ``n - 1``."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        own = index[order]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 def batches_of(texts: list, most_chars: int = 4_000_000):
     """Slices of a list of texts with about ``most_chars`` characters each (a longer text is one alone)."""
     start = held = 0
