@@ -41,6 +41,12 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.formatted(_table(spark, sf_dir, "conversations"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmatch.llm.line_edit_join import line_dedup
+
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.quality(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
+    "op4_lines": op4_lines,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
