@@ -66,12 +66,14 @@ class Open:
     block: bool
     out: bool  #: In a part that is not content.
     main: int  #: 0: outside; else how strongly the markup names this as the article.
+    number: int = 0  #: Which element of the page this is.
 
 
 @dataclass
 class Block:
     path: str
     main: int
+    inside: tuple[int, ...] = ()  #: The elements around it, outermost first.
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -122,7 +124,8 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if raw.isspace():
                 return
-            now = Block("/".join(o.step for o in stack if o.block), stack[-1].main if stack else 0)
+            around = [o for o in stack if o.block]
+            now = Block("/".join(o.step for o in around), stack[-1].main if stack else 0, tuple(o.number for o in around))
         value = html.unescape(raw)
         now.parts.append(value)
         if any(o.name == "a" for o in stack):
@@ -189,6 +192,7 @@ def blocks(page: str) -> list[Block]:
             if name == "body":
                 close(("head",), ("html",))
             opened = _opened(name, raw, stack[-1] if stack else None)
+            opened.number = at
             if opened.block:
                 cut()
             stack.append(opened)
@@ -231,13 +235,29 @@ def path_scores(found: list[Block]) -> np.ndarray:
     return score
 
 
+def container(found: list[Block], score: np.ndarray, least: float = 0.7) -> list[Block]:
+    """The blocks in the innermost element that holds ``least`` of the page's scored text."""
+    weight = score * np.array([len(b.text) for b in found])
+    depth, now = 0, np.arange(len(found))
+    while True:
+        inside: dict[int, list[int]] = {}
+        for i in now:
+            if len(found[i].inside) > depth:
+                inside.setdefault(found[i].inside[depth], []).append(i)
+        best = max(inside.values(), key=lambda own: weight[own].sum(), default=[])
+        if len(best) < 2 or weight[best].sum() < least * weight.sum():
+            return [found[i] for i in now]
+        now, depth = np.array(best), depth + 1
+
+
 def extract(page: str | None) -> str:
     """The main text of one page: content blocks in page order, joined by line feeds; '' if there are none.
 
     Paths whose mean smoothed score passes the threshold are content. The threshold is the lesser of
     half the mean score and the spread of the scores, so a page of one path keeps it. Where the
     markup names the article, its blocks are the candidates and the mostly linked ones among them
-    (tag lists, further reading) have to pass the threshold; elsewhere all blocks have to.
+    (tag lists, further reading) have to pass the threshold; elsewhere the innermost element that
+    holds most of the scored text bounds the choice, and all its blocks have to pass.
     """
     if not page:
         return ""
@@ -250,6 +270,9 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     score = path_scores(found)
+    if not strongest:
+        found = container(found, score)
+        score = path_scores(found)
     threshold = min(0.5 * score.mean(), score.std()) if len(found) > 1 else 0.0
     of: dict[str, list[int]] = {}
     for i, b in enumerate(found):
@@ -259,6 +282,9 @@ def extract(page: str | None) -> str:
         words = sum(len(found[i].text) for i in own)
         mostly_links = sum(found[i].linked for i in own) > 0.6 * words
         stays[own] = score[own].mean() >= threshold and not mostly_links if not strongest else not mostly_links or score[own].mean() >= max(threshold, 0.5 * score.mean())
+    for i in range(len(found) - 2, -1, -1):  # a heading has few characters and no punctuation: it goes with what it heads
+        if re.search(r"/h[1-6](\.[^/]*)?$", found[i].path) and not found[i].linked:
+            stays[i] = stays[i] or stays[i + 1]
     return "\n".join(b.text for b, ok in zip(found, stays) if ok)
 
 
