@@ -23,7 +23,8 @@ from quillmatch.llm.shared import row_key, same_key, written
 EDITS = 2
 LEAST = 40  #: Characters below which a line is left alone.
 SIGN_BITS = 24  #: Bits of a line's id that hold the parity of its characters' counts, by character bucket.
-SLICE = 2_000_000  #: Characters that are hashed at once.
+SLICE = 300_000  #: Characters that are hashed, or of candidates that are compared, at once.
+SEEN = 200_000  #: Lines that a task remembers having indexed.
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -108,8 +109,13 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     out = np.zeros(len(a), bool)
     la, lb = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
     near = np.flatnonzero((np.abs(la - lb) <= edits) & (la > edits) & (lb > edits))
-    for at in range(0, len(near), 2048):
+    near = near[np.argsort(la[near], kind="stable")]  # lines of a length together
+    at = 0
+    while at < len(near):
+        # As many pairs as the longest of the next few thousand leaves room for; a very long pair is alone.
         some = near[at : at + 2048]
+        some = some[: max(1, int(np.searchsorted(np.arange(1, len(some) + 1) * la[some], SLICE, side="right")))]
+        at += len(some)
         # The pattern is the longer of each pair.
         pat = [a[i] if la[i] >= lb[i] else b[i] for i in some]
         txt = [b[i] if la[i] >= lb[i] else a[i] for i in some]
@@ -196,18 +202,19 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
             held: list[str] = []
             ids: list[int] = []
             chars = 0
-            for text in [*batch.column(0).to_pylist(), None]:
+            for n in range(batch.num_rows + 1):
+                text = batch.column(0)[n].as_py() if n < batch.num_rows else None
                 for line in text.split("\n") if text else ():
                     if len(line) >= least:
                         h = line_ids(line)[0]
                         if h not in seen:
-                            if len(seen) > 500_000:
+                            if len(seen) > SEEN:
                                 seen.clear()
                             seen.add(h)
                             held.append(line)
                             ids.append(h)
                             chars += len(line)
-                if held and (chars > SLICE or text is None):
+                if held and (chars > SLICE or n == batch.num_rows):
                     sign, index, probe = signatures(held, edits)
                     line = ((np.array(ids, np.int64).view(np.uint64) >> np.uint64(SIGN_BITS)) << np.uint64(SIGN_BITS)) | sign
                     key = np.concatenate([index, probe], axis=1)
