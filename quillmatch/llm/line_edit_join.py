@@ -5,7 +5,8 @@ A line of at least ``LEAST`` characters goes if an earlier line of the corpus eq
 lines within the threshold share one of them whole, at a place that their lengths and the number of
 edits bound. So segments are indexed by (length, number, hash) and every line probes the substrings
 that can match an index entry of a line as long or shorter (length-aware, multi-match-aware
-selection). Candidates that agree are verified by a banded bit-parallel edit distance.
+selection). Candidates are verified where they meet, by a banded bit-parallel edit distance, so only
+lines that have to go leave a task, never pairs; keys that many lines share are dealt out in blocks.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmatch.llm.grouping import block_pairs, in_cells
 from quillmatch.llm.shared import row_key, same_key, written
 
 EDITS = 2
 LEAST = 40  #: Characters below which a line is left alone.
 SIGN_BITS = 24  #: Bits of a line's id that hold the parity of its characters' counts, by character bucket.
 SLICE = 300_000  #: Characters that are hashed, or of candidates that are compared, at once.
+BLOCK = 1024  #: Entries of one key that one task compares with as many others.
 SEEN = 200_000  #: Lines that a task remembers having indexed.
 
 _BASE = 0x9E3779B97F4A7C15
@@ -228,15 +231,13 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
     return docs.select("text").filter("text is not null").mapInArrow(run, "key bigint, line bigint, probe boolean")
 
 
-def candidates(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """``x < y``: ids of lines of which one's probe meets the other's segment, if their parities allow the threshold."""
+def members(docs: DataFrame, least: int, edits: int) -> DataFrame:
+    """``key, line, probe``: the entries of keys at which an index entry meets another line's probe."""
+    same = Window.partitionBy("key")
     found = entries(docs, least, edits)
-    index = found.filter(~F.col("probe")).select("key", F.col("line").alias("x")).repartition("key").dropDuplicates(["key", "x"])
-    probe = found.filter("probe").select("key", F.col("line").alias("y")).repartition("key").dropDuplicates(["key", "y"])
-    # One edit changes the parity of two characters at most.
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.lit((1 << SIGN_BITS) - 1)))
-    pairs = index.join(probe, "key").filter((F.col("x") != F.col("y")) & (apart <= 2 * edits))
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    for name, value in (("least", F.min("line")), ("most", F.max("line")), ("probed", F.max("probe")), ("all_probes", F.min("probe"))):
+        found = found.withColumn(name, value.over(same))
+    return found.filter("least <> most and probed and not all_probes").select("key", "line", "probe").distinct()
 
 
 def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> DataFrame:
@@ -244,8 +245,8 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> Dat
 
     ``first(h_a, h_b, at)`` has every distinct line's first place.
     """
-    pairs = written(candidates(docs, least, edits), "lines-candidates")
-    wanted = pairs.select(F.col("x").alias("line")).unionByName(pairs.select(F.col("y").alias("line"))).distinct()
+    met = written(members(docs, least, edits), "lines-members")
+    wanted = met.select("line").distinct()
     short = F.shiftright("h_a", SIGN_BITS)
     places = first.withColumn("short", short).join(wanted.select(F.shiftright("line", SIGN_BITS).alias("short")).distinct(), "short", "left_semi")
     by_doc = places.groupBy("at.rk_id", "at.rk_a", "at.rk_b").agg(F.collect_list(F.struct("at.line_no", "h_a", "h_b")).alias("picks"))
@@ -277,17 +278,30 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> Dat
     texts = picked.mapInArrow(pick, f"line bigint, rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint, body string")
     # Repeated rows (same id and text) give the same lines.
     texts = written(texts.dropDuplicates(["h_a", "h_b"]).select("line", "h_a", "h_b", _place().alias("at"), "body"), "lines-texts")
-    side = lambda s: texts.select(F.col("line").alias(s), F.struct("at", "h_a", "h_b").alias(f"{s}_line"), F.col("body").alias(f"{s}_body"))
-    met = pairs.join(side("x"), "x").join(side("y"), "y")
-    later = F.when(F.col("x_line.at") > F.col("y_line.at"), F.col("x_line")).otherwise(F.col("y_line"))
-    met = met.select("x_body", "y_body", later["h_a"].alias("h_a"), later["h_b"].alias("h_b"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = pa.array(within(batch.column(0).to_pylist(), batch.column(1).to_pylist(), edits))
-            yield pa.RecordBatch.from_arrays([batch.column(2).filter(ok), batch.column(3).filter(ok)], names=["h_a", "h_b"])
-
-    return met.mapInArrow(verify, "h_a bigint, h_b bigint").distinct()
+    mask = np.uint64((1 << SIGN_BITS) - 1)
+
+    def work(table: pa.Table, start: int, end: int):
+        own = table.slice(start, end - start)
+        line, probe, side = own["line"].to_numpy().view(np.uint64), own["probe"].to_numpy(), own["side"].to_numpy()
+        two = bool(side.any())
+        pairs = set()
+        for of in (0, 1) if two else (0,):
+            i = np.flatnonzero(~probe & (side == of)) if two else np.flatnonzero(~probe)
+            j = np.flatnonzero(probe & (side != of)) if two else np.flatnonzero(probe)
+            # One edit changes the parity of two characters at most.
+            apart = np.bitwise_count((line[i][:, None] ^ line[j][None, :]) & mask)
+            x, y = np.nonzero((apart <= 2 * edits) & (line[i][:, None] != line[j][None, :]))
+            pairs.update(zip(np.minimum(i[x], j[y]).tolist(), np.maximum(i[x], j[y]).tolist()))
+        if not pairs:
+            return None
+        body, at = own["body"].to_pylist(), [tuple(p.values()) for p in own["at"].to_pylist()]
+        ordered = sorted(pairs)
+        near = within([body[x] for x, _ in ordered], [body[y] for _, y in ordered], edits)
+        later = sorted({x if at[x] > at[y] else y for (x, y), ok in zip(ordered, near) if ok})
+        return pa.RecordBatch.from_arrays([own["h_a"].combine_chunks().take(pa.array(later, pa.int64())), own["h_b"].combine_chunks().take(pa.array(later, pa.int64()))], names=["h_a", "h_b"])
+
+    cells = block_pairs(met.join(texts, "line"), "key", "line", BLOCK)
+    return in_cells(cells, work, "h_a bigint, h_b bigint").distinct()
 
 
 def _place():
