@@ -32,11 +32,12 @@ def block_pairs(rows: DataFrame, group: str, uid: str, block: int) -> DataFrame:
     return met.withColumn("cell", cell).withColumn("side", F.col("meet.side")).drop("n_group", "n_blocks", "own", "meet")
 
 
-def in_cells(rows: DataFrame, work: Callable[[pa.Table, int, int], Iterator[pa.RecordBatch] | None], schema: str, least: int = 8) -> DataFrame:
+def in_cells(rows: DataFrame, work: Callable[[pa.Table, int, int], pa.RecordBatch | None], schema: str, finish: Callable[[], pa.RecordBatch | None] | None = None) -> DataFrame:
     """Brings the rows of a cell together and hands each cell to ``work(table, start, end)``.
 
     Cells are runs of equal ``cell`` in sorted Arrow batches, so tiny cells cost no Python call of
-    Spark's own each and only one cell beyond the present batch is held.
+    Spark's own each and only one cell beyond the present batch is held. What ``work`` keeps back to do
+    at once for several cells, ``finish()`` returns at the end of a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +52,8 @@ def in_cells(rows: DataFrame, work: Callable[[pa.Table, int, int], Iterator[pa.R
                 held = held.slice(last)
         if held is not None and held.num_rows:
             yield from _each(held.combine_chunks(), held["cell"].to_numpy(), work)
+        if finish is not None and (rest := finish()) is not None:
+            yield rest
 
     dealt = rows.repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, schema)

@@ -278,30 +278,47 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> Dat
     texts = picked.mapInArrow(pick, f"line bigint, rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint, body string")
     # Repeated rows (same id and text) give the same lines.
     texts = written(texts.dropDuplicates(["h_a", "h_b"]).select("line", "h_a", "h_b", _place().alias("at"), "body"), "lines-texts")
-    mask = np.uint64((1 << SIGN_BITS) - 1)
+    cells = block_pairs(met.join(texts, "line"), "key", "line", BLOCK)
+    verifier = Verifier(edits)
+    return in_cells(cells, verifier, "h_a bigint, h_b bigint", verifier.finish).distinct()
+
+
+class Verifier:
+    """Finds the candidates of each cell and verifies those of many cells together; gives the hashes of the later lines."""
 
-    def work(table: pa.Table, start: int, end: int):
+    def __init__(self, edits: int):
+        self.edits, self.chars = edits, 0
+        self.pairs: list[tuple[str, str, tuple[int, int]]] = []
+
+    def __call__(self, table: pa.Table, start: int, end: int) -> pa.RecordBatch | None:
         own = table.slice(start, end - start)
         line, probe, side = own["line"].to_numpy().view(np.uint64), own["probe"].to_numpy(), own["side"].to_numpy()
-        two = bool(side.any())
-        pairs = set()
+        name, two = own["h_a"].to_numpy(), bool(side.any())
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for of in (0, 1) if two else (0,):
             i = np.flatnonzero(~probe & (side == of)) if two else np.flatnonzero(~probe)
             j = np.flatnonzero(probe & (side != of)) if two else np.flatnonzero(probe)
             # One edit changes the parity of two characters at most.
-            apart = np.bitwise_count((line[i][:, None] ^ line[j][None, :]) & mask)
-            x, y = np.nonzero((apart <= 2 * edits) & (line[i][:, None] != line[j][None, :]))
-            pairs.update(zip(np.minimum(i[x], j[y]).tolist(), np.maximum(i[x], j[y]).tolist()))
-        if not pairs:
-            return None
-        body, at = own["body"].to_pylist(), [tuple(p.values()) for p in own["at"].to_pylist()]
-        ordered = sorted(pairs)
-        near = within([body[x] for x, _ in ordered], [body[y] for _, y in ordered], edits)
-        later = sorted({x if at[x] > at[y] else y for (x, y), ok in zip(ordered, near) if ok})
-        return pa.RecordBatch.from_arrays([own["h_a"].combine_chunks().take(pa.array(later, pa.int64())), own["h_b"].combine_chunks().take(pa.array(later, pa.int64()))], names=["h_a", "h_b"])
-
-    cells = block_pairs(met.join(texts, "line"), "key", "line", BLOCK)
-    return in_cells(cells, work, "h_a bigint, h_b bigint").distinct()
+            apart = np.bitwise_count((line[i][:, None] ^ line[j][None, :]) & np.uint64((1 << SIGN_BITS) - 1))
+            x, y = np.nonzero((apart <= 2 * self.edits) & (name[i][:, None] != name[j][None, :]))
+            for a, b in zip(i[x].tolist(), j[y].tolist()):
+                pairs[(min(name[a], name[b]), max(name[a], name[b]))] = (a, b)
+        rows: dict[int, tuple] = {}
+        for a, b in pairs.values():
+            for k in (a, b):
+                if k not in rows:
+                    rows[k] = (tuple(own["at"][k].as_py().values()), own["body"][k].as_py(), (own["h_a"][k].as_py(), own["h_b"][k].as_py()))
+            later = rows[a] if rows[a][0] > rows[b][0] else rows[b]
+            self.pairs.append((rows[a][1], rows[b][1], later[2]))
+            self.chars += len(later[1])
+        return self.finish() if self.chars > 4 * SLICE else None
+
+    def finish(self) -> pa.RecordBatch | None:
+        """Verifies what is held."""
+        near = within([x for x, _, _ in self.pairs], [y for _, y, _ in self.pairs], self.edits)
+        later = sorted({h for (_, _, h), ok in zip(self.pairs, near) if ok})
+        self.pairs, self.chars = [], 0
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in later], pa.int64()), pa.array([b for _, b in later], pa.int64())], names=["h_a", "h_b"]) if later else None
 
 
 def _place():
