@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join.
 
-A line of at least ``LEAST`` characters goes if an earlier line of the corpus equals it or lies within
-``EDITS`` edits of it. For the near ones each distinct line is split into ``EDITS + 1`` segments; two
-lines within the threshold share one of them whole, at a place that their lengths and the number of
-edits bound. So segments are indexed by (length, number, hash) and every line probes the substrings
+A line with a word goes if an earlier line of the corpus equals it or lies within ``EDITS`` edits of
+it; of two lines the shorter has to have ``PER_EDIT`` characters for each edit. For the near ones each
+distinct line is split into one segment more than its edits; two lines within the threshold share one
+of them whole, at a place that their lengths and the number of edits bound. Where fewer edits are
+allowed, lines have segments of their own. So segments are indexed by (length, number, hash) and every line probes the substrings
 that can match an index entry of a line as long or shorter (length-aware, multi-match-aware
 selection). Candidates are verified where they meet, by a banded bit-parallel edit distance, so only
 lines that have to go leave a task, never pairs; keys that many lines share are dealt out in blocks.
@@ -16,18 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.llm.grouping import block_pairs, in_cells
 from quillmatch.llm.shared import row_key, same_key, written
 
 EDITS = 2
-LEAST = 40  #: Characters below which a line is left alone.
+LEAST = 1  #: Characters below which a line is left alone; lines without a word always are.
+PER_EDIT = 15  #: Characters that a line needs for each edit: shorter ones go as exact repeats only.
 SIGN_BITS = 24  #: Bits of a line's id that hold the parity of its characters' counts, by character bucket.
 SLICE = 300_000  #: Characters that are hashed, or of candidates that are compared, at once.
 BLOCK = 1024  #: Entries of one key that one task compares with as many others.
 SEEN = 200_000  #: Lines that a task remembers having indexed.
+SPACE = " \t\n\x0b\x0c\r"  #: What stands between words.
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -61,6 +64,13 @@ def selection(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def of_edits(lines: list[str], allowed: int, edits: int) -> np.ndarray:
+    """Which lines meet others within ``allowed`` edits: where the shorter of two allows so many, and the longer ones it may meet."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    most = (allowed + 1) * PER_EDIT - 1 + allowed
+    return np.flatnonzero((size >= allowed * PER_EDIT) & ((size <= most) | (allowed == edits)))
+
+
 def line_ids(line: str) -> tuple[int, int]:
     """128 bits of hash as two signed longs."""
     h = xxhash.xxh3_128_intdigest(line.encode())
@@ -169,7 +179,7 @@ def _distance(a: str, b: str) -> int:
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """``rk_*, line_no, h_a, h_b`` for the lines of at least ``least`` characters."""
+    """``rk_*, line_no, h_a, h_b`` for the lines of at least ``least`` characters that have a word."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +187,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
             who, no, first, second = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 for n, line in enumerate(text.split("\n") if text else ()):
-                    if len(line) >= least:
+                    if len(line) >= least and line.strip(SPACE):
                         x, y = line_ids(line)
                         who.append(i)
                         no.append(n)
@@ -193,12 +203,22 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 
 
 def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """``key, line, probe`` of every line: its index entries (``probe`` 0) and probes (1).
+    """``key, line, probe`` of every line that may have an edit: its index entries (``probe`` 0) and probes (1).
 
     ``line`` is 40 bits of the line's hash and its parity sign. A task leaves out lines that it has
     just seen; what other tasks repeat goes when equal keys meet.
     """
 
+    def keyed(lines: list[str], ids: np.ndarray, allowed: int) -> pa.RecordBatch:
+        sign, index, probe = signatures(lines, allowed)
+        line = ((ids.view(np.uint64) >> np.uint64(SIGN_BITS)) << np.uint64(SIGN_BITS)) | sign
+        key = np.concatenate([index, probe], axis=1)
+        who = np.repeat(line, key.shape[1])
+        what = np.tile(np.r_[np.zeros(index.shape[1]), np.ones(probe.shape[1])].astype(bool), len(line))
+        key = key.ravel()
+        some = key != 0
+        return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(who[some].view(np.int64)), pa.array(what[some])], names=["key", "line", "probe"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -208,7 +228,7 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
             for n in range(batch.num_rows + 1):
                 text = batch.column(0)[n].as_py() if n < batch.num_rows else None
                 for line in text.split("\n") if text else ():
-                    if len(line) >= least:
+                    if len(line) >= max(least, PER_EDIT) and line.strip(SPACE):
                         h = line_ids(line)[0]
                         if h not in seen:
                             if len(seen) > SEEN:
@@ -218,14 +238,10 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
                             ids.append(h)
                             chars += len(line)
                 if held and (chars > SLICE or n == batch.num_rows):
-                    sign, index, probe = signatures(held, edits)
-                    line = ((np.array(ids, np.int64).view(np.uint64) >> np.uint64(SIGN_BITS)) << np.uint64(SIGN_BITS)) | sign
-                    key = np.concatenate([index, probe], axis=1)
-                    who = np.repeat(line, key.shape[1])
-                    what = np.tile(np.r_[np.zeros(index.shape[1]), np.ones(probe.shape[1])].astype(bool), len(line))
-                    key = key.ravel()
-                    some = key != 0
-                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(who[some].view(np.int64)), pa.array(what[some])], names=["key", "line", "probe"])
+                    for allowed in range(1, edits + 1):
+                        own = of_edits(held, allowed, edits)
+                        if len(own):
+                            yield keyed([held[i] for i in own], np.array(ids, np.int64)[own], allowed)
                     held, ids, chars = [], [], 0
 
     return docs.select("text").filter("text is not null").mapInArrow(run, "key bigint, line bigint, probe boolean")
@@ -233,15 +249,14 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
 
 def members(docs: DataFrame, least: int, edits: int) -> DataFrame:
     """``key, line, probe``: the entries of keys at which an index entry meets another line's probe."""
-    same = Window.partitionBy("key")
     found = entries(docs, least, edits)
-    for name, value in (("least", F.min("line")), ("most", F.max("line")), ("probed", F.max("probe")), ("all_probes", F.min("probe"))):
-        found = found.withColumn(name, value.over(same))
-    return found.filter("least <> most and probed and not all_probes").select("key", "line", "probe").distinct()
+    flags = found.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.max("probe").alias("probed"), F.min("probe").alias("all_probes"))
+    meet = written(flags.filter("least <> most and probed and not all_probes").select("key"), "lines-keys")
+    return found.join(meet, "key", "left_semi").distinct()
 
 
 def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> DataFrame:
-    """``h_a, h_b`` of the distinct lines that an earlier distinct line lies within ``edits`` of.
+    """``h_a, h_b`` of the distinct lines that an earlier distinct line lies within ``edits`` of, or what their lengths allow.
 
     ``first(h_a, h_b, at)`` has every distinct line's first place.
     """
@@ -315,8 +330,10 @@ class Verifier:
 
     def finish(self) -> pa.RecordBatch | None:
         """Verifies what is held."""
-        near = within([x for x, _, _ in self.pairs], [y for _, y, _ in self.pairs], self.edits)
-        later = sorted({h for (_, _, h), ok in zip(self.pairs, near) if ok})
+        later: set[tuple[int, int]] = set()
+        for allowed in range(1, self.edits + 1):
+            own = [p for p in self.pairs if min(self.edits, min(len(p[0]), len(p[1])) // PER_EDIT) == allowed]
+            later.update(h for (_, _, h), ok in zip(own, within([x for x, _, _ in own], [y for _, y, _ in own], allowed)) if ok)
         self.pairs, self.chars = [], 0
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in later], pa.int64()), pa.array([b for _, b in later], pa.int64())], names=["h_a", "h_b"]) if later else None
 
@@ -342,9 +359,9 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_lines, n_exact, n_near, dropped``.
 
-    ``dropped`` numbers (from 0) the lines that go: those of at least ``least`` characters that equal a
-    line earlier in the corpus (``n_exact``), or else have an earlier distinct line within ``edits``
-    edits (``n_near``). Order is by ``doc_id`` (null last), then a hash of the text, then line. Rows
+    ``dropped`` numbers (from 0) the lines that go: those of at least ``least`` characters and a word
+    that equal a line earlier in the corpus (``n_exact``), or else have an earlier distinct line within
+    ``edits`` edits and one edit for each ``PER_EDIT`` characters of the shorter (``n_near``). Order is by ``doc_id`` (null last), then a hash of the text, then line. Rows
     that repeat id and text are one document and lose the same lines. Null and empty texts have no
     lines; further columns are ignored; an empty table gives an empty result.
     """
@@ -371,7 +388,7 @@ def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
                 if lines:
                     bad = set(lines)
                     texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in bad)
-                    stays[i] = bool(texts[i].strip(" \t\n\x0b\x0c\r"))
+                    stays[i] = bool(texts[i].strip(SPACE))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             if "n_chars" in names:
                 columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], batch.schema.types[names.index("n_chars")])
