@@ -140,6 +140,13 @@ def knn_documents(spark, d):
     return top_k(fit(docs, "doc_id", "text"), asked, 5)
 
 
+@query
+def knn_documents_whole(spark, d):
+    """Every whole benchmark passage against all whole documents. No SQL: a brute force over a small fixture holds it."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return top_k(fit(table(spark, d, "documents"), "doc_id", "text"), asked, 5)
+
+
 def _looked_up(spark, d):
     return lk.lookup(name_queries(spark, d), lk.branded(branded_rows(spark, d)), lk.generics(generic_rows(spark, d)), lk.master(master_rows(spark, d)))
 
@@ -308,6 +315,13 @@ def required_fields(spark, d):
     return ok.select("doc_id", F.lit(True).alias("ok")).unionByName(bad.select("doc_id", F.lit(False).alias("ok")))
 
 
+@query
+def required_fields_whole(spark, d):
+    """The same over whole texts."""
+    ok, bad = store.required(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return ok.select("doc_id", F.lit(True).alias("ok")).unionByName(bad.select("doc_id", F.lit(False).alias("ok")))
+
+
 # JSON.
 
 
