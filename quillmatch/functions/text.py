@@ -36,9 +36,11 @@ def clean_ocr(c: Column) -> Column:
 
     A lone character between word boundaries goes unless it is a or i; a single space between two
     words is such a character, so words are glued. That is the defined behaviour, kept on purpose.
+    Letters and white space are those of Unicode, so an accented letter is part of its word.
     """
-    lone = F.regexp_replace(squeeze(c), r"\b[^aAiI]\b", "")
-    return F.coalesce(squeeze(F.regexp_replace(lone, r"[|}{~`]", "")), F.lit(""))
+    squeezed = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
+    lone = F.regexp_replace(squeezed(c), r"(?U)\b[^aAiI]\b", "")
+    return F.coalesce(squeezed(F.regexp_replace(lone, r"[|}{~`]", "")), F.lit(""))
 
 
 def chunks(c: Column, width: int = 450) -> Column:

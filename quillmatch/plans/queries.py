@@ -86,7 +86,10 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 def words(spark: SparkSession, d: str) -> DataFrame:
     """Words of the ASCII turns of ``conversations`` as twelve readings an image, with confidences from plain arithmetic."""
-    turns = ascii_turns(spark, d)
+    return words_of(spark, ascii_turns(spark, d))
+
+
+def words_of(spark: SparkSession, turns: DataFrame) -> DataFrame:
     tries = ocr.candidates(spark, turns)
     w = tries.select("image_id", "variant", "angle", "angle_idx", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
     conf = F.pmod(F.length("text") * 7 + F.col("word_idx") * 3 + F.col("variant") * 5 + F.col("angle_idx") * 11, F.lit(97)) - 3
@@ -98,6 +101,12 @@ def ascii_turns(spark: SparkSession, d: str) -> DataFrame:
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("image_id"), "text")
 
 
+def all_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn of ``conversations`` as an image of its own, under a key of conversation and turn."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return table(spark, d, "conversations").select(F.concat(part("conv_id"), F.lit("/"), part("turn")).alias("image_id"), "text")
+
+
 # Matching and lookup.
 
 
@@ -371,6 +380,27 @@ def ocr_best(spark, d):
     return best.select("image_id", "ocr_text", (F.rint(F.col("ocr_confidence") * 1e6) / 1e6).alias("conf"), ocr.route(F.col("ocr_confidence"), F.col("ocr_text")).alias("method"))
 
 
+# The same for all turns. No SQL, as DuckDB's regular expressions differ on other than ASCII: a brute force holds them.
+
+
+@query
+def clean_ocr_all(spark, d):
+    return all_turns(spark, d).select("image_id", tx.clean_ocr(F.col("text")).alias("text"))
+
+
+@query
+def ocr_candidates_all(spark, d):
+    tries = ocr.texts(words_of(spark, all_turns(spark, d)))
+    return tries.select("image_id", "variant", "angle", (F.rint(F.col("conf") * 1e6) / 1e6).alias("conf"), F.length("raw").cast("bigint").alias("n_chars"))
+
+
+@query
+def ocr_best_all(spark, d):
+    turns = all_turns(spark, d)
+    best = ocr.best_text(turns, words_of(spark, turns))
+    return best.select("image_id", "ocr_text", (F.rint(F.col("ocr_confidence") * 1e6) / 1e6).alias("conf"), ocr.route(F.col("ocr_confidence"), F.col("ocr_text")).alias("method"))
+
+
 @query
 def image_sizes(spark, d):
     p = table(spark, d, "part").withColumn("w", F.col("p_size") * 100).withColumn("h", F.col("p_partkey").cast("int") % 3000 + 1)
