@@ -46,7 +46,8 @@ NAMED = frozenset(
     "notice notices alert alerts cookie cookies consent gdpr privacy popup modal overlay newsletter subscribe subscription signup login signin paywall "
     "comment comments commentlist respond replies reply disqus discussion feedback share sharing social related recommended recommendations outbrain taboola toolbar search hidden".split()
 )
-#: Words that name the article itself; they win over the list above where both stand on one element.
+COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion feedback".split())
+#: Words that name the article itself; they win over the list above where both stand on one element, in names of their own.
 MAIN = frozenset("article articlebody articletext content maincontent main post postbody story storybody entry entrycontent body bodytext text".split())
 
 TOKEN = re.compile(
@@ -57,6 +58,11 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 NAME_WORDS = re.compile(r"[A-Za-z]+?(?=[A-Z][a-z]|[^A-Za-z]|$)|[A-Za-z]+")
+#: Names that say what a page has, how it is filed or whether comments are open, not what the element is.
+ABOUT = re.compile(
+    r"(?:has|no|with|without)(?:[-_]|(?=[A-Z]))|(?:category|cat|tag|topic|type|format|status|author|lang)[-_]"
+    r"|(?:comments?|replies|discussion|feedback|sharing|pings?)[-_](?:open|closed|enabled|disabled|allowed|on|off)$"
+)
 
 
 @dataclass
@@ -86,12 +92,16 @@ def _attributes(raw: str) -> dict[str, str]:
 def _opened(name: str, raw: str, parent: Open | None) -> Open:
     attrs = _attributes(raw)
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    words = {w.lower() for w in NAME_WORDS.findall(named)} | {w.lower() for w in named.split()}
+    names = [{w.lower() for w in NAME_WORDS.findall(n)} | {n.lower()} for n in named.split() if not ABOUT.match(n)]
+    words = set().union(*names)
     role = attrs.get("role", "").lower()
     out = parent.out if parent else False
     main = parent.main if parent else 0
     # An element that names the article holds it, unless it names comments or another part as well.
-    other = bool(words & NAMED - ({"header", "banner"} if main else set()))
+    article = name == "article" or attrs.get("itemprop", "").lower() == "articlebody"
+    kept = article or name in ("div", "section", "td") and any(n & MAIN - {"body", "text"} and not n & NAMED for n in names)
+    not_it = COMMENTS | {"hidden"} if kept else NAMED - ({"header", "banner"} if main else set())
+    other = bool(words & not_it)
     out = out or name in DROPPED or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
     out = out or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
     if other and name not in ("html", "body", "main"):
@@ -99,7 +109,7 @@ def _opened(name: str, raw: str, parent: Open | None) -> Open:
     if name == "header" and not main:
         out = True
     if not out:
-        if name == "article" or attrs.get("itemprop", "").lower() == "articlebody":
+        if article:
             main = 3
         elif (name == "main" or role == "main") and main < 2:
             main = 2
@@ -255,18 +265,19 @@ def extract(page: str | None) -> str:
 
     Paths whose mean smoothed score passes the threshold are content. The threshold is the lesser of
     half the mean score and the spread of the scores, so a page of one path keeps it. Where the
-    markup names the article, its blocks are the candidates and the mostly linked ones among them
-    (tag lists, further reading) have to pass the threshold; elsewhere the innermost element that
-    holds most of the scored text bounds the choice, and all its blocks have to pass.
+    markup names the article and at least half of the text that is no link lies there, its blocks
+    (and a first heading beside it in the same main part) are the candidates and the mostly linked
+    ones among them (tag lists, further reading) have to pass the threshold; elsewhere the innermost
+    element that holds most of the scored text bounds the choice, and all its blocks have to pass.
     """
     if not page:
         return ""
     found = blocks(page)
-    strongest = max((b.main for b in found), default=0)
-    if strongest == 1 and 2 * sum(len(b.text) for b in found if b.main) < sum(len(b.text) for b in found):
-        strongest = 0  # a class name alone, and most of the text lies elsewhere
+    own = lambda level: sum(max(0, len(b.text) - b.linked) for b in found if b.main >= level)
+    # A name alone, while most of the text lies elsewhere, bounds nothing.
+    strongest = next((level for level in (3, 2, 1) if any(b.main >= level for b in found) and 2 * own(level) >= own(0)), 0)
     if strongest:
-        found = [b for b in found if b.main == strongest]
+        found = [b for b in found if b.main >= strongest or b.main and not b.linked and re.search(r"(^|/)h1(\.[^/]*)?$", b.path)]
     if not found:
         return ""
     score = path_scores(found)
