@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.llm.grouping import block_pairs, in_cells
-from quillmatch.llm.shared import row_key, same_key, written
+from quillmatch.llm.shared import as_row, discard, in_tasks, row_key, same_key, with_texts, written
 
 EDITS = 2
 LEAST = 1  #: Characters below which a line is left alone; lines without a word always are.
@@ -77,16 +77,41 @@ def line_ids(line: str) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def signatures(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line: a parity sign, its index keys and its probe keys (0: no such probe)."""
+def _characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and starts of lines, and a hash of each of their characters."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     chars = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    start = np.cumsum(size) - size
-    up, down = _powers(len(chars) + 1)
-    mixed = _mix(chars + np.uint64(0x1234567))
-    rolled = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum(mixed * up[: len(chars)], out=rolled[1:])
-    sign = np.bitwise_xor.reduceat(np.uint64(1) << (mixed % np.uint64(SIGN_BITS)), start)
+    return size, np.cumsum(size) - size, _mix(chars + np.uint64(0x1234567))
+
+
+def _parity(mixed: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduceat(np.uint64(1) << (mixed % np.uint64(SIGN_BITS)), start)
+
+
+def named(ids: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """40 bits of the hashes of lines, and their parity signs."""
+    return ((ids.view(np.uint64) >> np.uint64(SIGN_BITS)) << np.uint64(SIGN_BITS)) | sign
+
+
+def in_parts(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of a list of lines of about ``SLICE`` characters (a longer line is one alone)."""
+    start = held = 0
+    for i, line in enumerate(lines):
+        held += len(line)
+        if held >= SLICE:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(lines):
+        yield start, len(lines)
+
+
+def signatures(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line: a parity sign, its index keys and its probe keys (0: no such probe)."""
+    size, start, mixed = _characters(lines)
+    up, down = _powers(len(mixed) + 1)
+    rolled = np.zeros(len(mixed) + 1, np.uint64)
+    np.cumsum(mixed * up[: len(mixed)], out=rolled[1:])
+    sign = _parity(mixed, start)
 
     def keys(at: np.ndarray, length: np.ndarray, segment: int, of: np.ndarray) -> np.ndarray:
         part = (rolled[at + length] - rolled[at]) * down[at]
@@ -199,7 +224,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
                 names=["rk_id", "rk_a", "rk_b", "line_no", "h_a", "h_b"],
             )
 
-    return docs.select(*row_key(), "text").mapInArrow(run, f"rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint")
+    return in_tasks(docs.select(*row_key(), "text"), run, f"rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint", text=3)
 
 
 def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
@@ -211,7 +236,7 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
 
     def keyed(lines: list[str], ids: np.ndarray, allowed: int) -> pa.RecordBatch:
         sign, index, probe = signatures(lines, allowed)
-        line = ((ids.view(np.uint64) >> np.uint64(SIGN_BITS)) << np.uint64(SIGN_BITS)) | sign
+        line = named(ids, sign)
         key = np.concatenate([index, probe], axis=1)
         who = np.repeat(line, key.shape[1])
         what = np.tile(np.r_[np.zeros(index.shape[1]), np.ones(probe.shape[1])].astype(bool), len(line))
@@ -244,15 +269,15 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
                             yield keyed([held[i] for i in own], np.array(ids, np.int64)[own], allowed)
                     held, ids, chars = [], [], 0
 
-    return docs.select("text").filter("text is not null").mapInArrow(run, "key bigint, line bigint, probe boolean")
+    return in_tasks(docs.select("text").filter("text is not null"), run, "key bigint, line bigint, probe boolean", text=0)
 
 
 def members(docs: DataFrame, least: int, edits: int) -> DataFrame:
     """``key, line, probe``: the entries of keys at which an index entry meets another line's probe."""
     found = entries(docs, least, edits)
     flags = found.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.max("probe").alias("probed"), F.min("probe").alias("all_probes"))
-    meet = written(flags.filter("least <> most and probed and not all_probes").select("key"), "lines-keys")
-    return found.join(meet, "key", "left_semi").distinct()
+    meet = flags.filter("least <> most and probed and not all_probes").select("key")
+    return found.join(written(meet, "lines-keys"), "key", "left_semi").distinct()
 
 
 def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> DataFrame:
@@ -261,12 +286,11 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> Dat
     ``first(h_a, h_b, at)`` has every distinct line's first place.
     """
     met = written(members(docs, least, edits), "lines-members")
-    wanted = met.select("line").distinct()
     short = F.shiftright("h_a", SIGN_BITS)
-    places = first.withColumn("short", short).join(wanted.select(F.shiftright("line", SIGN_BITS).alias("short")).distinct(), "short", "left_semi")
-    by_doc = places.groupBy("at.rk_id", "at.rk_a", "at.rk_b").agg(F.collect_list(F.struct("at.line_no", "h_a", "h_b")).alias("picks"))
+    places = first.withColumn("short", short).join(met.select(F.shiftright("line", SIGN_BITS).alias("short")).distinct(), "short", "left_semi")
+    by_doc = places.groupBy("at.rk_a", "at.rk_b").agg(F.collect_list(F.struct("at.line_no", "h_a", "h_b")).alias("picks"))  # of one document
     whole = docs.select(*row_key(), "text")
-    picked = whole.join(by_doc, same_key(whole, by_doc)).select(whole["rk_id"], whole["rk_a"], whole["rk_b"], "text", "picks")
+    picked = whole.join(by_doc, same_key(whole, by_doc)).select("rk_id", whole["rk_a"], whole["rk_b"], "text", "picks")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,21 +305,23 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> Dat
                     b.append(p["h_b"])
                     out.append(lines[p["line_no"]])
             if out:
-                for at in range(0, len(out), 10_000):
-                    sign = signatures(out[at : at + 10_000], edits)[0]
-                    ids += (((np.array(a[at : at + 10_000], np.int64).view(np.uint64) >> np.uint64(SIGN_BITS)) << np.uint64(SIGN_BITS)) | sign).view(np.int64).tolist()
+                for at, end in in_parts(out):
+                    _, start, mixed = _characters(out[at:end])
+                    ids += named(np.array(a[at:end], np.int64), _parity(mixed, start)).view(np.int64).tolist()
                 take = pa.array(who, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), *(batch.column(k).take(take) for k in range(3)), pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.string())],
                     names=["line", "rk_id", "rk_a", "rk_b", "line_no", "h_a", "h_b", "body"],
                 )
 
-    texts = picked.mapInArrow(pick, f"line bigint, rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint, body string")
+    texts = in_tasks(picked, pick, f"line bigint, rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint, body string", text=3)
     # Repeated rows (same id and text) give the same lines.
     texts = written(texts.dropDuplicates(["h_a", "h_b"]).select("line", "h_a", "h_b", _place().alias("at"), "body"), "lines-texts")
-    cells = block_pairs(met.join(texts, "line"), "key", "line", BLOCK)
+    cells = block_pairs(met, "key", "line", BLOCK).drop("key").join(texts, "line")
     verifier = Verifier(edits)
-    return in_cells(cells, verifier, "h_a bigint, h_b bigint", verifier.finish).distinct()
+    near = written(in_cells(cells, verifier, "h_a bigint, h_b bigint", verifier.finish).distinct(), "lines-near")
+    discard(met, texts)
+    return near
 
 
 class Verifier:
@@ -344,13 +370,14 @@ def _place():
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``rk_*, n_exact, n_near, dropped``: for each document (row key) that loses lines, which, from 0."""
+    """``rk_a, rk_b, n_exact, n_near, dropped``: for each document (row key) that loses lines, which, from 0."""
     lines = written(lines_of(docs, least).distinct(), "lines-all")
     first = written(lines.groupBy("h_a", "h_b").agg(F.min(_place()).alias("at")), "lines-first")
     near = near_lines(docs, first, least, edits).withColumn("near", F.lit(True))
     known = written(first.join(near, ["h_a", "h_b"], "left"), "lines-known")
+    discard(first)
     repeated = lines.join(known, ["h_a", "h_b"]).withColumn("again", ~_place().eqNullSafe(F.col("at")))
-    gone = repeated.filter(F.col("again") | F.col("near")).groupBy("rk_id", "rk_a", "rk_b")
+    gone = repeated.filter(F.col("again") | F.col("near")).groupBy("rk_a", "rk_b")
     return gone.agg(
         F.count_if(F.col("again")).alias("n_exact"), F.count_if(~F.col("again")).alias("n_near"), F.sort_array(F.collect_list("line_no")).alias("dropped")
     )
@@ -374,24 +401,26 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
 
 
 def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``docs`` without the dropped lines (``n_chars`` follows); documents of which no word is left go."""
-    gone = dropped_lines(docs, edits, least).select(F.col("rk_id"), "rk_a", "rk_b", F.col("dropped").alias("ld_dropped"))
-    whole = docs.select("*", *row_key())
-    out = whole.join(gone, same_key(whole, gone), "left").select(*[whole[c] for c in docs.columns], "ld_dropped")
+    """``docs`` without the dropped lines (``n_chars`` follows); documents of which no word is left go.
+
+    Null and empty texts have no lines to lose and stay as they are; ties, repeated rows and the order
+    of lines are those of ``line_dedup``; columns of any other name pass through; an empty table gives
+    an empty result.
+    """
+    gone = dropped_lines(docs, edits, least)
+    whole = docs.select(as_row(docs), *row_key())
+    out = whole.join(gone, same_key(whole, gone), "left").select("row", "dropped")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone_lines = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            texts = batch.column(0).field(at).to_pylist()
             stays = np.ones(len(texts), bool)
-            for i, lines in enumerate(gone_lines):
+            for i, lines in enumerate(batch.column(1).to_pylist()):
                 if lines:
                     bad = set(lines)
                     texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in bad)
                     stays[i] = bool(texts[i].strip(SPACE))
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], batch.schema.types[names.index("n_chars")])
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays(with_texts(batch.column(0), names, texts), names=names).filter(pa.array(stays))
 
-    return out.mapInArrow(run, docs.schema)
+    return in_tasks(out, run, docs.schema, text=0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import WORD, written
+from quillmatch.llm.shared import WORD, as_row, written
 
 WEIGHTS = (5.0, 2.0, 1.0)  #: Dealt to the sources in code-point order, over and over.
 BITS = 12  #: Hash bits that one histogram level resolves.
@@ -115,10 +115,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     """The mix as documents: each row of ``docs`` as often as it is taken (0, 1 or 2 times).
 
     A document on the threshold counts as taken once more if at least half of it is. Documents
-    without a word have no share in any target and stay out.
+    without a word (null and empty texts among them) have no share in any target and stay out; the null
+    source is a source; rows that repeat id and text are taken alike; columns of any other name pass
+    through; an empty table gives an empty result.
     """
     narrow = written(sized(docs.select("doc_id", "source", "text")).select("source", "mx_size", "mx_hash"), "mix-sizes")
     goals = targets(narrow.groupBy("source").agg(F.sum("mx_size").alias("source_size")), weights, share, most)
-    out = taken_words(sized(docs), thresholds(narrow, goals))
+    rows = sized(docs.select(as_row(docs), "doc_id", "source", "text")).select("row", "source", "mx_size", "mx_hash")
+    out = taken_words(rows, thresholds(narrow, goals))
     times = F.when(F.col("mx_size") > 0, F.floor(F.col("taken") / F.col("mx_size") + 0.5)).otherwise(0).cast("int")
-    return out.withColumn("mx_copies", F.array_repeat(F.lit(1), times)).withColumn("mx_copy", F.explode("mx_copies")).select(*docs.columns)
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")

@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import written
+from quillmatch.llm.shared import cache_of, in_tasks, slices, written
 
 LENGTH = 2048  #: Tokens of a sequence.
 GROUP = 20_000  #: Pieces that are packed with each other.
-WORDS = 600_000  #: Words whose ids a worker keeps at hand; beyond that it starts anew.
-
-_VOCABULARY: dict[str, "Vocabulary"] = {}
+BATCH = 4_000_000  #: Bytes of text that are tokenised at once.
+WORDS = 400_000  #: Words whose ids a worker keeps at hand; beyond that it starts anew.
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -112,9 +111,10 @@ class Vocabulary(dict):
 
 
 def _vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARY:
-        _VOCABULARY[path] = Vocabulary(path)
-    return _VOCABULARY[path]
+    held = cache_of("packing")
+    if path not in held:
+        held[path] = Vocabulary(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fa
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         vocabulary = _vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches, 2, BATCH):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids, ends = vocabulary.ids(part.column("text").to_pylist())

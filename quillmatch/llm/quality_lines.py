@@ -10,10 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import row_key, written
+from quillmatch.llm.shared import as_row, in_tasks, row_key, same_key, with_texts, written
 
-LEAST_DOCS = 10  #: A line in no more documents of its host than this is never frequent.
-MOST_SHARE = 0.1  #: Nor one in no more than this share of the host's documents.
+LEAST_DOCS = 10  #: A line in no more distinct documents of its host than this is never frequent.
+MOST_SHARE = 0.1  #: Beyond that, one in more than this share of the host's documents is,
+MOST_DOCS = 1000  #: and one in more documents than this, whatever the size of the host.
 DEPLETED = 0.5  #: A document is rejected when frequent lines hold more than this share of its words.
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -84,21 +85,29 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*old, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{schema}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_hash array<bigint>, line_words array<bigint>")
+    out = f"{schema}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_hash array<bigint>, line_words array<bigint>"
+    return in_tasks(docs, run, out, text=docs.columns.index("text"))
 
 
-def frequent_lines(facts: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE) -> DataFrame:
-    """``host, line``: the lines in more than ``least_docs`` and ``most_share`` of the host's distinct documents."""
-    own = facts.select(F.col("source").alias("host"), "rk_a", "rk_b", F.explode("line_hash").alias("line")).distinct()
+def text_key() -> list:
+    """A 128-bit hash of the text alone: rows of equal text are one document of their host."""
+    body = F.col("text")
+    return [F.xxhash64(F.lit("a"), body.isNull(), body).alias("t_a"), F.xxhash64(F.lit("b"), body, F.length(body)).alias("t_b")]
+
+
+def frequent_lines(facts: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
+    """``host, line``: the lines in more than ``least_docs`` of the host's distinct documents and in more than ``most_share`` or ``most_docs`` of them."""
+    own = facts.select(F.col("source").alias("host"), "t_a", "t_b", F.explode("line_hash").alias("line")).distinct()
     counts = own.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least_docs)
-    hosts = facts.select(F.col("source").alias("h"), "rk_a", "rk_b").distinct().groupBy("h").agg(F.count("*").alias("n_docs"))
-    return counts.join(hosts, counts["host"].eqNullSafe(hosts["h"])).filter(F.col("n") > most_share * F.col("n_docs")).select("host", "line")
+    hosts = facts.select(F.col("source").alias("h"), "t_a", "t_b").distinct().groupBy("h").agg(F.count("*").alias("n_docs"))
+    many = F.least(most_share * F.col("n_docs"), F.lit(float(most_docs)))
+    return counts.join(hosts, counts["host"].eqNullSafe(hosts["h"])).filter(F.col("n") > many).select("host", "line")
 
 
-def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, depleted: float = DEPLETED, most_docs: int = MOST_DOCS) -> DataFrame:
     """A row for each row of ``docs(doc_id, source, text)``: row key, measures, ``n_frequent_words``, ``frequent`` lines, verdict."""
-    facts = written(measured(docs.select("doc_id", "source", "text", *row_key())).withColumn("row_id", F.monotonically_increasing_id()), "quality-facts")
-    frequent = written(frequent_lines(facts, least_docs, most_share), "quality-frequent")
+    facts = written(measured(docs.select("doc_id", "source", "text", *row_key(), *text_key())).withColumn("row_id", F.monotonically_increasing_id()), "quality-facts")
+    frequent = written(frequent_lines(facts, least_docs, most_share, most_docs), "quality-frequent")
     lines = facts.select("row_id", "source", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l"))
     hits = lines.join(frequent, (F.col("l.line_hash") == frequent["line"]) & lines["source"].eqNullSafe(frequent["host"]))
     removed = hits.groupBy("row_id").agg(F.sum("l.line_words").alias("n_frequent_words"), F.collect_set("line").alias("frequent"))
@@ -109,48 +118,44 @@ def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MO
     return out.withColumn("kept", ~failed & (F.col("n_frequent_words") <= depleted * F.col("n_words")))
 
 
-def quality(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, depleted: float = DEPLETED) -> DataFrame:
+def quality(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, depleted: float = DEPLETED, most_docs: int = MOST_DOCS) -> DataFrame:
     """One row per row of ``docs``: measures, ``base_failed``, ``kept``, and the words on frequent lines.
 
     Lines are compared with A-Z lower-cased, digits alike and white space as one space. A line is
-    frequent when more than ``least_docs`` and more than ``most_share`` of the documents of its host
-    (``source``; null is a host) hold it, where rows of equal text are one document, so copies are no
+    frequent when more than ``least_docs`` of the documents of its host (``source``; null is a host)
+    hold it and also more than ``most_share`` of them or more than ``most_docs``, where rows of equal text are one document, so copies are no
     evidence against their lines. Null, empty and white-space texts have no words and fail; repeated
     rows each get a row; further columns are ignored; an empty table gives an empty result.
     """
-    return judged(docs, least_docs, most_share, depleted).select(
+    return judged(docs, least_docs, most_share, depleted, most_docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words"
     )
 
 
-def passed(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """``docs`` without the rejected documents, and with the frequent lines of the others removed (``n_chars`` follows)."""
-    verdict = judged(docs, least_docs, most_share, depleted).filter("not kept or frequent is not null")
-    keys = ["rk_id", "rk_a", "rk_b", "source"]
-    verdict = verdict.groupBy(*keys).agg(F.first("kept").alias("q_kept"), F.first("frequent").alias("q_lines"))
-    verdict = verdict.select(*[F.col(k).alias(f"v_{k}") for k in keys], "q_kept", "q_lines")
-    on = None
-    whole = docs.select("*", *row_key())
-    for k in keys:
-        same = whole[k].eqNullSafe(verdict[f"v_{k}"])
-        on = same if on is None else on & same
-    out = whole.join(verdict, on, "left").filter("q_kept is null or q_kept").select(*docs.columns, "q_lines")
+def passed(docs: DataFrame, least_docs: int = LEAST_DOCS, most_share: float = MOST_SHARE, depleted: float = DEPLETED, most_docs: int = MOST_DOCS) -> DataFrame:
+    """``docs`` without the rejected documents, and with the frequent lines of the others removed (``n_chars`` follows).
+
+    Null, empty and white-space texts fail and go; repeated rows stay as often as they come, and lose
+    the same lines; null hosts are one host; columns of any other name pass through; an empty table
+    gives an empty result.
+    """
+    found = judged(docs, least_docs, most_share, depleted, most_docs).filter("not kept or frequent is not null")
+    verdict = found.groupBy("rk_a", "rk_b", F.xxhash64(F.col("source").isNull(), "source").alias("at")).agg(F.first("kept").alias("kept"), F.first("frequent").alias("frequent"))
+    whole = docs.select(as_row(docs), *row_key(), F.xxhash64(F.col("source").isNull(), "source").alias("at"))
+    out = whole.join(verdict, same_key(whole, verdict) & (whole["at"] == verdict["at"]), "left").filter("kept is null or kept")
+    out = out.select("row", "frequent")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch.column(len(names)).to_pylist()
-            texts = batch.column(at).to_pylist()
-            for i, lines in enumerate(gone):
+            texts = batch.column(0).field(at).to_pylist()
+            for i, lines in enumerate(batch.column(1).to_pylist()):
                 if lines:
                     bad = set(lines)
                     texts[i] = "\n".join(x for x in texts[i].split("\n") if line_key(x)[0] not in bad)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            if "n_chars" in names:
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], batch.schema.types[names.index("n_chars")])
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(with_texts(batch.column(0), names, texts), names=names)
 
-    return out.mapInArrow(run, docs.schema)
+    return in_tasks(out, run, docs.schema, text=0)
 
 
 #: The same in DuckDB.
@@ -166,7 +171,7 @@ ln AS (SELECT r, source, t, l, list_aggregate(list_transform(regexp_extract_all(
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY r),
 hosts AS (SELECT source, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS n_docs FROM d GROUP BY source),
 freq AS (SELECT ln.source, ln.n FROM ln JOIN hosts h ON ln.source IS NOT DISTINCT FROM h.source GROUP BY ln.source, ln.n, h.n_docs
-         HAVING count(DISTINCT ln.t) > {LEAST_DOCS} AND count(DISTINCT ln.t) > CAST({MOST_SHARE} AS DOUBLE) * h.n_docs),
+         HAVING count(DISTINCT ln.t) > {LEAST_DOCS} AND count(DISTINCT ln.t) > least(CAST({MOST_SHARE} AS DOUBLE) * h.n_docs, CAST({MOST_DOCS} AS DOUBLE))),
 hit AS (SELECT r, sum(words) AS n FROM ln JOIN freq f ON ln.source IS NOT DISTINCT FROM f.source AND ln.n = f.n GROUP BY r),
 m AS (SELECT d.r, doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
