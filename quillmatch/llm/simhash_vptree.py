@@ -1,12 +1,16 @@
 """SimHash near-dedup: fingerprints linked by exact Hamming search over vantage-point shards.
 
-Fingerprints that differ in at most ``radius`` bits agree in at least one of ``radius + 1`` blocks of
-bits, so the search space is first cut into the cells of equal block value (within a block the
-triangle bound has radius zero: no cell overlaps another). A cell that many fingerprints share is cut
-again by the Hamming distance to a vantage point of the cell into rings, and a fingerprint within the
-radius of the next ring is sent there too (boundary-overlapping shards). Within a shard a
-vantage-point tree prunes branches by the triangle bounds, vectorised over all queries at a node.
-Shards emit only the links to their local root, never all pairs.
+A tree of vantage points partitions the fingerprints by Hamming distance: those within a node's middle
+distance go to its inner branch, the others to the outer one, and who lies within the radius beyond
+the middle is a guest in the inner branch as well (boundary-overlapping shards). The leaves are the
+shards; in each a vantage-point tree prunes branches by the triangle bounds, vectorised over all
+queries at a node, and what is left is compared bit by bit. Shards emit links that span their
+components, never all pairs.
+
+On all 64 bits a tree of radius 4 prunes next to nothing, as unrelated fingerprints lie 32 bits apart,
+give or take 4, from any vantage point. Two fingerprints within 4 bits are within one bit in one of
+three blocks of the bits, so each block has a tree of its own with radius 1, and a pair found there is
+checked on all bits.
 """
 
 from __future__ import annotations
@@ -16,15 +20,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.grouping import block_pairs, components, in_cells, local_roots
-from quillmatch.llm.shared import row_key, same_key, written
+from quillmatch.llm.grouping import block_pairs, components, hot_from, in_cells, local_roots, meet
+from quillmatch.llm.shared import as_row, in_tasks, one_of_repeats, row_key, same_key, written
 
-RING = 8  #: Width of a ring in bits; at least the radius, so that only neighbours overlap.
+BLOCKS = 3  #: Blocks of bits with a tree each; a pair within the radius is within a third of it in one of them.
+SHARD = 8192  #: Fingerprints that are at home in one shard, about.
+SAMPLE = 16_384  #: Distinct fingerprints that vantage points are chosen on, about (of all, every one is in the shards).
+LEVELS = 18  #: Of the tree above the shards, at most; a shard of more is dealt out in blocks.
 LEAF = 64  #: Points below which a branch is compared directly.
 BLOCK = 4096  #: Fingerprints of one shard that one task compares with as many others.
+HELD = 200_000  #: Links that a shard holds before it reduces them to those that span.
 
 
 def simhash(text: str | None, shingle: int = 4) -> int:
@@ -57,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fps)], names=[*kept, "fp"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{schema}, fp bigint")
+    return in_tasks(docs, run, f"{schema}, fp bigint", text=docs.columns.index("text"))
 
 
 def tree_pairs(points: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,42 +97,135 @@ def tree_pairs(points: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np
     return np.concatenate([empty, *found_q]), np.concatenate([empty, *found_p])
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Links ``a - b`` (long) that span the same components as all pairs of distinct ``fp`` within ``radius``."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    cells = [
-        F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
-        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]))
-    ]
-    rows = fps.select("fp", F.explode(F.array(*cells)).alias("cell_value"))
-    hot = rows.groupBy("cell_value").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("cell_value", F.lit(True).alias("hot"))
-    rows = rows.join(hot, "cell_value", "left")
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.xxhash64(F.lit("vantage"), "cell_value"))).cast("int")
-    rings = F.when(F.col("hot"), F.array_distinct(F.array((far / RING).cast("int"), ((far + radius) / RING).cast("int")))).otherwise(F.array(F.lit(-1)))
-    shards = rows.withColumn("rings", rings).select("fp", "cell_value", F.posexplode("rings").alias("guest", "ring"))
-    shards = shards.select("fp", "guest", F.xxhash64("cell_value", "ring").alias("shard"))
+def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
+    """First bit and width of each block of the 64 bits."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:])]
+
+
+def block_of(fp: np.ndarray, lo: int, width: int) -> np.ndarray:
+    return (fp >> np.uint64(lo)) & np.uint64((1 << width) - 1)
+
+
+def vantage_points(sample: np.ndarray, width: int, levels: int, reach: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage point and middle distance of each node of a tree of ``levels`` (a heap: the root is 0).
+
+    Of a few members of the sample in a node the one with the fewest others just beyond its middle
+    distance becomes the vantage point; where the sample has run out, any value and half the width do.
+    """
+    r = np.random.default_rng([seed, width])
+    nodes = (1 << levels) - 1
+    vantage = r.integers(0, 1 << width, nodes, np.uint64)
+    middle = np.full(nodes, width // 2, np.int64)
+    members = [sample]
+    for node in range(nodes):
+        own = members[node]
+        if len(own) >= 32:
+            options = own[r.integers(0, len(own), 4)]
+            apart = np.bitwise_count(own[None, :] ^ options[:, None]).astype(np.int64)
+            mids = np.median(apart, axis=1).astype(np.int64)
+            crowd = ((apart > mids[:, None]) & (apart <= mids[:, None] + reach)).sum(axis=1) + np.abs(2 * (apart <= mids[:, None]).sum(axis=1) - len(own))
+            best = int(np.argmin(crowd))
+            vantage[node], middle[node] = options[best], mids[best]
+        inner = np.bitwise_count(own ^ vantage[node]) <= middle[node]
+        members += [own[inner], own[~inner]]
+        members[node] = own[:0]
+    return vantage, middle
+
+
+def in_shards(value: np.ndarray, vantage: np.ndarray, middle: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(which value, shard, is it a guest there)``: every value at home in one shard, and a guest wherever one within ``reach`` may be at home."""
+    at, node, guest = np.arange(len(value)), np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+    for _ in range(len(vantage).bit_length()):
+        d = np.bitwise_count(value[at] ^ vantage[node]).astype(np.int64)
+        mid = middle[node]
+        inner, outer = d <= mid + reach, np.where(guest, d > mid - reach, d > mid)
+        at, node, guest = np.r_[at[inner], at[outer]], np.r_[2 * node[inner] + 1, 2 * node[outer] + 2], np.r_[(guest | (d > mid))[inner], guest[outer]]
+    return at, node - len(vantage), guest
+
+
+def sharded(distinct: DataFrame, radius: int, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """``fp, part, shard, guest`` of ``distinct(fp)``: each fingerprint in the shards of each block's tree."""
+    n = distinct.count()
+    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(n, 1) / shard)))))
+    chosen = distinct.filter(F.pmod(F.xxhash64(F.lit("sample"), "fp"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(n, 1)))) if levels else distinct.limit(0)
+    some = np.sort(np.array([r["fp"] for r in chosen.collect()], np.int64)).view(np.uint64)  # about ``sample``
+    reach = radius // BLOCKS
+    bounds = block_bounds()
+    trees = [vantage_points(block_of(some, lo, width), width, levels, reach, k) for k, (lo, width) in enumerate(bounds)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            for k, (lo, width) in enumerate(bounds):
+                at, number, guest = in_shards(block_of(fp.view(np.uint64), lo, width), *trees[k], reach)
+                columns = [pa.array(fp[at]), pa.array(np.full(len(at), k, np.int32)), pa.array(number), pa.array(guest)]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "part", "number", "guest"])
+
+    rows = in_tasks(distinct.select("fp"), run, "fp bigint, part int, number bigint, guest boolean")
+    return rows.select("fp", "part", "guest", F.xxhash64("part", "number").alias("shard"))
+
+
+def tree_links(block: np.ndarray, full: np.ndarray, p: np.ndarray, q: np.ndarray, home: np.ndarray, reach: int, radius: int) -> np.ndarray:
+    """The smallest index that each fingerprint of a shard reaches over links between ``p`` and ``q`` of which one is at home.
+
+    A vantage-point tree over the block values of ``p`` is asked for all of ``q`` at once.
+    """
+    n, held = len(full), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    count = 0
+
+    def reduced() -> np.ndarray:
+        return local_roots(n, np.concatenate([i for i, _ in held]), np.concatenate([j for _, j in held]))
+
+    todo = [(p, q)]
+    while todo:
+        p, q = todo.pop()
+        if not len(p) or not len(q):
+            continue
+        if len(p) > LEAF:
+            vantage = block[p[len(p) // 2]]
+            dp = np.bitwise_count(block[p] ^ vantage).astype(np.int64)
+            mid = int(np.median(dp))
+            inner = dp <= mid
+            if inner.all():
+                mid = int(dp.min())
+                inner = dp <= mid
+            if not inner.all():
+                dq = np.bitwise_count(block[q] ^ vantage).astype(np.int64)
+                todo += [(p[inner], q[dq <= mid + reach]), (p[~inner], q[dq > mid - reach])]
+                continue
+        for at in range(0, len(q), 4096):
+            some = q[at : at + 4096]
+            for pt in range(0, len(p), 256):
+                own = p[pt : pt + 256]
+                i, j = np.nonzero(np.bitwise_count(full[some][:, None] ^ full[own][None, :]) <= radius)
+                i, j = some[i], own[j]
+                keep = (i != j) & (home[i] | home[j])
+                held.append((i[keep], j[keep]))
+                count += int(keep.sum())
+                if count > HELD:
+                    root = reduced()
+                    some_linked = np.flatnonzero(root != np.arange(n))
+                    held, count = [(some_linked, root[some_linked])], 0
+    return reduced()
+
+
+def links(fps: DataFrame, radius: int = 4, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """Links ``a - b`` (long) that span the same components as all pairs of distinct ``fp`` within ``radius``; ``fps`` is a written table."""
+    shards = written(sharded(fps, radius, shard), "simhash-shards")
+    bounds, reach = block_bounds(), radius // BLOCKS
 
     def work(table: pa.Table, start: int, end: int):
         own = table.slice(start, end - start)
-        fp = own["fp"].to_numpy()
-        value = fp.view(np.uint64)
-        side = own["side"].to_numpy() == 1
-        home = own["guest"].to_numpy() == 0
-        if side.any():
-            p, q = np.flatnonzero(~side), np.flatnonzero(side)
-        else:
-            p = q = np.arange(len(fp))
-        hit_q, hit_p = tree_pairs(value[p], value[q], radius)
-        i, j = q[hit_q], p[hit_p]
-        keep = (i != j) & (home[i] | home[j])
-        if not keep.any():
-            return None
-        root = local_roots(len(fp), i[keep], j[keep])
+        fp, guest = own["fp"].to_numpy(), own["guest"].to_numpy()
+        full, side = fp.view(np.uint64), own["side"].to_numpy() == 1
+        lo, width = bounds[own["part"][0].as_py()]
+        p, q = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(fp)), np.flatnonzero(~guest))
+        root = tree_links(block_of(full, lo, width), full, p, q, ~guest, reach, radius)
         leaf = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[leaf]), pa.array(fp[root[leaf]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[leaf]), pa.array(fp[root[leaf]])], names=["a", "b"]) if len(leaf) else None
 
-    return in_cells(block_pairs(shards, "shard", "fp", BLOCK), work, "a bigint, b bigint")
+    return in_cells(block_pairs(shards, "shard", "fp", block), work, "a bigint, b bigint")
 
 
 def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -140,31 +241,30 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     Links any two rows whose fingerprints differ in at most ``radius`` bits; ``component_id`` is the
     smallest ``doc_id`` reachable. Null and empty texts (and those of white space) have fingerprint
     zero and link with each other like any other; repeated rows each get a row; a null ``doc_id``
-    takes part but is never the smallest; an empty table gives an empty result.
+    takes part but is never the smallest; further columns are ignored; an empty table gives an empty
+    result.
     """
     prints = written(fingerprints(docs.select("doc_id", "text"), shingle), "simhash-prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")).join(classes(prints, radius), "fp")
-    smallest = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = prints.join(least.join(smallest, "root").select("fp", "component_id"), "fp")
+    many = hot_from(prints.count())
+    counted = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    least = written(counted.join(classes(prints, radius), "fp"), "simhash-classes")
+    smallest = least.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    of_print = meet(least.select("fp", "root", F.col("n").alias("n_rows")), smallest, "root", many).select("fp", "component_id", F.col("n_rows").alias("n"))
+    named = meet(prints, of_print, "fp", many)
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate component left: the one of the smallest ``doc_id``.
 
-    Ties (repeated ids) go by the hash of the text; rows that repeat id and text are one document.
+    Null ids come last; ties (repeated ids) go by the hash of id and text; rows that repeat id and text
+    are one document, of which the first by its other columns stays; null and empty texts are alike;
+    columns of any other name pass through; an empty table gives an empty result.
     """
-    keyed = docs.select("text", *row_key())
-    prints = written(fingerprints(keyed, shingle), "simhash-prints")
+    prints = written(fingerprints(docs.select("text", *row_key()), shingle), "simhash-prints")
     named = prints.join(classes(prints, radius), "fp")
     first = F.min(F.struct(F.col("rk_id").isNull(), "rk_id", "rk_a", "rk_b")).alias("first")
-    stay = named.groupBy("root").agg(first).select("first.rk_id", "first.rk_a", "first.rk_b")
-    whole = docs.select("*", *row_key())
-    joined = whole.join(stay, same_key(whole, stay), "left_semi")
-    return one_of_repeats(joined).select(*docs.columns)
-
-
-def one_of_repeats(keyed: DataFrame) -> DataFrame:
-    """One row of those that repeat a row key."""
-    nth = F.row_number().over(Window.partitionBy("rk_id", "rk_a", "rk_b").orderBy("rk_id"))
-    return keyed.withColumn("rk_nth", nth).filter("rk_nth = 1")
+    stay = named.groupBy("root").agg(first).select("first.rk_a", "first.rk_b")
+    whole = docs.select(as_row(docs), *row_key())
+    kept = whole.join(stay, same_key(whole, stay), "left_semi")
+    return one_of_repeats(kept, docs.columns)
