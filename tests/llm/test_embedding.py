@@ -1,6 +1,7 @@
 import numpy as np
 
-import quillmatch.llm.embedding_lsh as M
+import pytest
+
 from quillmatch.llm.embedding_lsh import near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
@@ -35,10 +36,10 @@ def brute(rows):
     return link
 
 
-def test_links_and_components(spark, monkeypatch):
-    monkeypatch.setattr(M, "BLOCK", 20)  # blocks of hot buckets at this size too
+@pytest.mark.parametrize("block", [20, 2048])  # blocks of hot buckets at this size too
+def test_links_and_components(spark, block):
     rows = made()
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()
     link = brute(rows)
     assert len(got) == len(rows)
     by = {r["vec_id"]: r for r in got}
@@ -55,5 +56,16 @@ def test_links_and_components(spark, monkeypatch):
     assert by[906]["component_id"] == 905 and not by[906]["kept"]
 
 
+def test_equal_vectors_and_extremes(spark):
+    """Copies count one by one; finite doubles link whatever their size."""
+    big = [1e300, 2e300, -1e300]
+    rows = [(i, [1.0, 2.0, 3.0], "a") for i in range(40, 10, -1)] + [(1, [1.0, 2.0, 3.0], "b"), (2, [1.0, 2.0, 3.0], None), (3, [1.0, 2.0, 3.0], None)]
+    rows += [(50, big, "a"), (51, [x / 1e290 for x in big], "a"), (52, [x * 1e-320 for x in (1.0, 2.0, -1.0)], "a"), (53, [], "a"), (53, [], "a"), (54, [float("inf"), 1.0, 1.0], "a"), (54, [float("inf"), 1.0, 1.0], "a")]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").selectExpr("*", "'x' AS n", "'y' AS root", "'z' AS component")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
+    want = [(i, 29, 11, i == 11) for i in range(11, 41)] + [(i, 0, i, True) for i in (1, 2, 3, 53, 53, 54, 54)] + [(50, 2, 50, True), (51, 2, 50, False), (52, 2, 50, False)]
+    assert got == sorted(want)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
