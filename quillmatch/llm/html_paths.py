@@ -1,16 +1,19 @@
 """Main-text extraction from HTML by tag-path ratios.
 
 A page is cut into text blocks, each with its root-to-leaf tag path. Per path the text length and the
-punctuation of all its blocks are aggregated to ratios, the ratios are fused into a score, scores are
-smoothed along the page, and paths whose score passes a threshold from the page's own spread are
-content. What the markup itself names as not content (navigation, adverts, forms, comments ...) is
-no candidate, and a container that the markup names as the article bounds the choice.
+punctuation of all its blocks are aggregated to ratios, the ratios are smoothed along the page (and
+inside a named article down the path, so that its tables and lists follow what is around them) and
+fused into a score, and the paths whose score passes a threshold from the page's own scores are
+content. Names and elements decide nothing alone: what they call another part of the page (menus,
+asides, forms, comments ...) or what lies outside the article scores a hundredth of what it would, so
+that a page all of which lies in a form, or in an element named after its sidebar, keeps its text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,10 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmatch.llm.shared import in_tasks
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "button select option svg canvas object embed iframe audio video map picture output meter progress "
+    "math semantics annotation mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mpadded mphantom menclose mstyle".split()
+)
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of these names, unless one of the second stands between.
 ENDS = {
@@ -36,8 +45,10 @@ ENDS = {
     "tfoot": (("tr", "thead", "tbody", "tfoot"), ("table",)),
     "option": (("option",), ("select",)),
 }
-#: Elements that never hold article text.
-DROPPED = frozenset("head nav footer aside form script style noscript template svg math canvas object embed iframe button select option input textarea dialog menu audio video title".split())
+#: Elements whose text is no text of the page.
+DROPPED = frozenset("head script style noscript template svg canvas object embed iframe button select option input textarea label legend audio video title annotation".split())
+#: Elements that are other parts of a page; what they hold scores lower.
+PARTS = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 #: Words of class and id values that name other parts of a page.
 NAMED = frozenset(
@@ -47,7 +58,7 @@ NAMED = frozenset(
     "comment comments commentlist respond replies reply disqus discussion feedback share sharing social related recommended recommendations outbrain taboola toolbar search hidden".split()
 )
 COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion feedback".split())
-#: Words that name the article itself; they win over the list above where both stand on one element, in names of their own.
+#: Words that name the article itself; where one stands on an element in a name of its own, the list above does not count there.
 MAIN = frozenset("article articlebody articletext content maincontent main post postbody story storybody entry entrycontent body bodytext text".split())
 
 TOKEN = re.compile(
@@ -65,65 +76,81 @@ ABOUT = re.compile(
 )
 
 
+OTHER = 0.01  #: Factor on the score for each element around a block that is another part of the page, and for a block outside the article.
+NAMED_SHARE, PLAIN_SHARE = 0.1, 0.3  #: Thresholds as shares of the page's score: where the article is named, and elsewhere.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 @dataclass
 class Open:
     name: str
-    step: str  #: The element as a step of a tag path.
     block: bool
-    out: bool  #: In a part that is not content.
+    out: bool  #: Text here is none of the page's.
+    other: int  #: Elements around, this one included, that are other parts of the page.
     main: int  #: 0: outside; else how strongly the markup names this as the article.
-    number: int = 0  #: Which element of the page this is.
+    linked: bool  #: Inside a link.
+    path: int = 0
+    node: int = 0
 
 
 @dataclass
 class Block:
-    path: str
+    name: str
+    path: int
+    node: int
     main: int
-    inside: tuple[int, ...] = ()  #: The elements around it, outermost first.
+    other: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
+@dataclass
+class Page:
+    """The blocks of a page in order, and the parents of their paths and elements (of which the first is the page itself)."""
+
+    blocks: list[Block] = field(default_factory=list)
+    path_parent: list[int] = field(default_factory=lambda: [0])
+    node_parent: list[int] = field(default_factory=lambda: [0])
+    node_path: list[int] = field(default_factory=lambda: [0])
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _opened(name: str, raw: str, parent: Open | None) -> Open:
+def _opened(name: str, raw: str, parent: Open | None) -> tuple[Open, str]:
+    """The element, and its step of a tag path."""
     attrs = _attributes(raw)
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     names = [{w.lower() for w in NAME_WORDS.findall(n)} | {n.lower()} for n in named.split() if not ABOUT.match(n)]
     words = set().union(*names)
     role = attrs.get("role", "").lower()
-    out = parent.out if parent else False
     main = parent.main if parent else 0
-    # An element that names the article holds it, unless it names comments or another part as well.
+    # An element that names the article is one, unless it names comments or another part as well.
     article = name == "article" or attrs.get("itemprop", "").lower() == "articlebody"
     kept = article or name in ("div", "section", "td") and any(n & MAIN - {"body", "text"} and not n & NAMED for n in names)
     not_it = COMMENTS | {"hidden"} if kept else NAMED - ({"header", "banner"} if main else set())
-    other = bool(words & not_it)
-    out = out or name in DROPPED or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+    other = name in PARTS or role in ROLES or name == "header" and not main or bool(words & not_it) and name not in ("html", "body", "main")
+    out = bool(parent and parent.out) or name in DROPPED or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
     out = out or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
-    if other and name not in ("html", "body", "main"):
-        out = True
-    if name == "header" and not main:
-        out = True
-    if not out:
+    if not other:
         if article:
             main = 3
         elif (name == "main" or role == "main") and main < 2:
             main = 2
         elif words & MAIN and not main and name in ("div", "section", "td"):
             main = 1
-    block = name not in INLINE
-    label = ".".join([name, *sorted(named.split())]) if block else name
-    return Open(name, label, block, out, main)
+    around = parent.other if parent else 0
+    return Open(name, name not in INLINE, out, around + other, main, name == "a" or bool(parent and parent.linked)), ".".join([name, *sorted(named.split())])
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order, without those in parts that the markup names as not content."""
+def read(page: str) -> Page:
+    """The text blocks of a page with their paths."""
     stack: list[Open] = []
-    found: list[Block] = []
+    found = Page()
+    paths: dict[tuple[int, str], int] = {}
+    names: Counter = Counter()  # of the open elements
     now: Block | None = None
     at = 0
 
@@ -134,11 +161,12 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if raw.isspace():
                 return
-            around = [o for o in stack if o.block]
-            now = Block("/".join(o.step for o in around), stack[-1].main if stack else 0, tuple(o.number for o in around))
+            around = stack[-1] if stack else Open("", True, False, 0, 0, False)
+            near = next((o.name for o in reversed(stack) if o.block), "")
+            now = Block(near, around.path, around.node, around.main, around.other)
         value = html.unescape(raw)
         now.parts.append(value)
-        if any(o.name == "a" for o in stack):
+        if stack and stack[-1].linked:
             now.linked += len("".join(value.split()))
 
     def cut() -> None:
@@ -146,17 +174,20 @@ def blocks(page: str) -> list[Block]:
         if now is not None:
             now.text = " ".join("".join(now.parts).split())
             if now.text:
-                found.append(now)
+                found.blocks.append(now)
             now = None
 
     def pop_to(index: int) -> None:
         if any(o.block for o in stack[index:]):
             cut()
+        names.subtract(o.name for o in stack[index:])
         del stack[index:]
 
-    def close(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
+    def close(wanted: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(names[w] for w in wanted):
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i].name in names:
+            if stack[i].name in wanted:
                 pop_to(i)
                 return
             if stack[i].name in stop:
@@ -181,122 +212,165 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else len(page)
                 continue
             if name in VOID:
-                if name in ("br", "wbr"):
-                    if name == "br":
-                        text(" ")
+                if name == "br":
+                    text(" ")
                 elif name == "hr":
                     close(("p",), ("article", "body", "div", "section", "td"))
                     cut()
                 continue
-            if name in ("html", "body") and any(o.name == name for o in stack):
+            if name in ("html", "body") and names[name]:
                 continue
-            if name in CLOSES_P:
+            if name in CLOSES_P and names["p"]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].name == "p":
                         pop_to(i)
                         break
-                    if stack[i].block and stack[i].name not in INLINE:
+                    if stack[i].block:
                         break
             if name in ENDS:
                 close(*ENDS[name])
             if name == "body":
                 close(("head",), ("html",))
-            opened = _opened(name, raw, stack[-1] if stack else None)
-            opened.number = at
+            parent = stack[-1] if stack else None
+            opened, step = _opened(name, raw, parent)
+            opened.path, opened.node = (parent.path, parent.node) if parent else (0, 0)
             if opened.block:
                 cut()
+                key = (opened.path, step)
+                if key not in paths:
+                    paths[key] = len(found.path_parent)
+                    found.path_parent.append(opened.path)
+                found.node_parent.append(opened.node)
+                found.node_path.append(paths[key])
+                opened.path, opened.node = paths[key], len(found.node_parent) - 1
             stack.append(opened)
+            names[name] += 1
         elif m["end"]:
             name = m["end"].lower()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    pop_to(i)
-                    break
-                if name in INLINE and stack[i].block:
-                    break
-            else:
-                if name == "p":
-                    cut()
+            if names[name]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].name == name:
+                        pop_to(i)
+                        break
+                    if name in INLINE and stack[i].block:
+                        break
+            elif name == "p":
+                cut()
         elif m["cdata"] is not None:
             text(m["cdata"])
     cut()
     return found
 
 
-def path_scores(found: list[Block]) -> np.ndarray:
-    """A score for each block: its path's fused ratios, smoothed along the page."""
-    of: dict[str, list[int]] = {}
-    for i, b in enumerate(found):
-        of.setdefault(b.path, []).append(i)
-    length = np.array([len(b.text) for b in found], float)
-    marks = np.array([len(PUNCTUATION.findall(b.text)) for b in found], float)
-    linked = np.array([b.linked for b in found], float)
-    score = np.zeros(len(found))
-    for own in of.values():
-        n = len(own)
-        text_ratio = length[own].sum() / n  # characters a node of the path
-        mark_ratio = marks[own].sum() / n  # punctuation marks a node of the path
-        link_share = linked[own].sum() / max(length[own].sum(), 1)
-        score[own] = np.sqrt(text_ratio * (1 + mark_ratio)) * max(0.0, 1 - link_share) ** 2
-    if len(found) > 2:
-        kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-        weight = np.convolve(np.ones(len(found)), kernel, "same")
-        score = np.convolve(score, kernel, "same") / weight if len(found) >= 5 else score
-    return score
-
-
-def container(found: list[Block], score: np.ndarray, least: float = 0.7) -> list[Block]:
-    """The blocks in the innermost element that holds ``least`` of the page's scored text."""
-    weight = score * np.array([len(b.text) for b in found])
-    depth, now = 0, np.arange(len(found))
-    while True:
-        inside: dict[int, list[int]] = {}
-        for i in now:
-            if len(found[i].inside) > depth:
-                inside.setdefault(found[i].inside[depth], []).append(i)
-        best = max(inside.values(), key=lambda own: weight[own].sum(), default=[])
-        if len(best) < 2 or weight[best].sum() < least * weight.sum():
-            return [found[i] for i in now]
-        now, depth = np.array(best), depth + 1
+def sums(parent: list[int], at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` (one row a block) over each path or element ``at`` which a block stands, with all below it."""
+    out = np.zeros((len(parent), values.shape[1]))
+    np.add.at(out, at, values)
+    for k in range(len(parent) - 1, 0, -1):  # a parent comes before what is in it
+        out[parent[k]] += out[k]
+    return out
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page: content blocks in page order, joined by line feeds; '' if there are none.
-
-    Paths whose mean smoothed score passes the threshold are content. The threshold is the lesser of
-    half the mean score and the spread of the scores, so a page of one path keeps it. Where the
-    markup names the article and at least half of the text that is no link lies there, its blocks
-    (and a first heading beside it in the same main part) are the candidates and the mostly linked
-    ones among them (tag lists, further reading) have to pass the threshold; elsewhere the innermost
-    element that holds most of the scored text bounds the choice, and all its blocks have to pass.
+def smoothed(x: np.ndarray) -> np.ndarray:
+    """Along the page, by a Gaussian over five blocks."""
+    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+    if len(x) < 5:
+        return x
+    return np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same")
+
+
+def path_ratios(page: Page, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each path: characters and punctuation marks a block.
+
+    Below the path ``top`` a path's ratio is halfway between its own and that of the path around it,
+    which at ``top`` itself is that of all it holds.
     """
-    if not page:
-        return ""
-    found = blocks(page)
-    own = lambda level: sum(max(0, len(b.text) - b.linked) for b in found if b.main >= level)
-    # A name alone, while most of the text lies elsewhere, bounds nothing.
-    strongest = next((level for level in (3, 2, 1) if any(b.main >= level for b in found) and 2 * own(level) >= own(0)), 0)
-    if strongest:
-        found = [b for b in found if b.main >= strongest or b.main and not b.linked and re.search(r"(^|/)h1(\.[^/]*)?$", b.path)]
-    if not found:
+    at = np.array([b.path for b in page.blocks])
+    facts = np.array([[len(b.text), len(PUNCTUATION.findall(b.text)), 1] for b in page.blocks], float)
+    own = np.zeros((len(page.path_parent), 3))
+    np.add.at(own, at, facts)
+    whole = sums(page.path_parent, at, facts)
+    own = np.where(own[:, 2:] > 0, own, whole)
+    ratio = own[:, :2] / np.maximum(own[:, 2:], 1)
+    if top is not None:
+        below = np.zeros(len(ratio), bool)
+        below[top] = True
+        ratio[top] = whole[top, :2] / max(whole[top, 2], 1)
+        for k in range(top + 1, len(ratio)):
+            if below[page.path_parent[k]]:
+                below[k] = True
+                ratio[k] = 0.5 * ratio[k] + 0.5 * ratio[page.path_parent[k]]
+    return ratio[:, 0], ratio[:, 1]
+
+
+def scores(page: Page, inside: np.ndarray | None = None, top: int | None = None) -> np.ndarray:
+    """A score for each path: its smoothed ratios fused, less for links, other parts and what is not ``inside``."""
+    at = np.array([b.path for b in page.blocks])
+    text, marks = (smoothed(r[at]) for r in path_ratios(page, top))
+    counts = np.array([[len(b.text), b.linked, 1] for b in page.blocks], float)
+    total = np.zeros((len(page.path_parent), 3))
+    np.add.at(total, at, counts)
+    free = np.maximum(0.15, 1 - total[:, 1] / np.maximum(total[:, 0], 1)) ** 2
+    prior = OTHER ** np.array([b.other for b in page.blocks], float)
+    if inside is not None:
+        prior = prior * np.where(inside, 1.0, OTHER)
+    fused = np.sqrt(text * (1 + marks)) * prior * free[at]
+    mean = np.zeros(len(total))
+    np.add.at(mean, at, fused)
+    return mean / np.maximum(total[:, 2], 1)
+
+
+def region(page: Page, share: float = 0.7) -> tuple[np.ndarray, int | None]:
+    """Which blocks lie in the article, and its path if the markup names it.
+
+    A name counts where at least half of the text that is no link lies there (in another part of the
+    page text counts a hundredth); a first heading beside the article in its main part belongs to it.
+    Elsewhere the article is the innermost element that holds ``share`` of the scored text.
+    """
+    blocks = page.blocks
+    plain = np.array([max(0, len(b.text) - b.linked) for b in blocks]) * OTHER ** np.array([b.other for b in blocks], float)
+    main = np.array([b.main for b in blocks])
+    for level in (3, 2, 1):
+        inside = main >= level
+        if inside.any() and 2 * plain[inside].sum() >= plain.sum():
+            first = next(b for b, own in zip(blocks, inside) if own)
+            beside = np.array([bool(b.main) and not b.linked and b.name == "h1" for b in blocks])
+            return inside | beside, first.path
+    at = np.array([b.node for b in blocks])
+    weight = scores(page)[[b.path for b in blocks]] * [len(b.text) for b in blocks]
+    held = sums(page.node_parent, at, np.stack([weight, np.ones(len(blocks))], axis=1))
+    inner = [k for k in range(len(held)) if held[k, 0] >= share * weight.sum() and held[k, 1] > 1]
+    best = max(inner, default=0)  # of elements that hold so much each is in the one before
+    around = np.zeros(len(page.node_parent), bool)
+    around[best] = True
+    for k in range(best + 1, len(around)):
+        around[k] = around[page.node_parent[k]]
+    return around[at], None
+
+
+def chosen(page: Page) -> np.ndarray:
+    """Which blocks are content: those on a path whose score passes the threshold, and the headings of such."""
+    blocks = page.blocks
+    inside, named = region(page)
+    if named is not None:  # from the outermost path of the article
+        while page.path_parent[named] and any(b.path == page.path_parent[named] for b, own in zip(blocks, inside) if own):
+            named = page.path_parent[named]
+    score = scores(page, inside, named)[[b.path for b in blocks]]
+    weight = score * [len(b.text) for b in blocks]
+    level = (score * weight).sum() / max(weight.sum(), 1e-300)
+    stays = score >= (PLAIN_SHARE if named is None else NAMED_SHARE) * level
+    for i in range(len(blocks) - 2, -1, -1):  # a heading has few characters and no punctuation: it goes with what it heads
+        if blocks[i].name in HEADINGS and not blocks[i].linked and inside[i] == inside[i + 1] and blocks[i].other == blocks[i + 1].other:
+            stays[i] |= stays[i + 1]
+    return stays
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page: content blocks in page order, joined by line feeds; '' if there are none."""
+    found = read(page) if page else Page()
+    if not found.blocks:
         return ""
-    score = path_scores(found)
-    if not strongest:
-        found = container(found, score)
-        score = path_scores(found)
-    threshold = min(0.5 * score.mean(), score.std()) if len(found) > 1 else 0.0
-    of: dict[str, list[int]] = {}
-    for i, b in enumerate(found):
-        of.setdefault(b.path, []).append(i)
-    stays = np.zeros(len(found), bool)
-    for own in of.values():
-        words = sum(len(found[i].text) for i in own)
-        mostly_links = sum(found[i].linked for i in own) > 0.6 * words
-        stays[own] = score[own].mean() >= threshold and not mostly_links if not strongest else not mostly_links or score[own].mean() >= max(threshold, 0.5 * score.mean())
-    for i in range(len(found) - 2, -1, -1):  # a heading has few characters and no punctuation: it goes with what it heads
-        if re.search(r"/h[1-6](\.[^/]*)?$", found[i].path) and not found[i].linked:
-            stays[i] = stays[i] or stays[i + 1]
-    return "\n".join(b.text for b, ok in zip(found, stays) if ok)
+    return "\n".join(b.text for b, ok in zip(found.blocks, chosen(found)) if ok)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -315,4 +389,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return in_tasks(pages.select("page_id", "url", "html"), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint", text=2)
