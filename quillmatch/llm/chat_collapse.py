@@ -13,54 +13,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmatch.llm.shared import written
+
 TURNS = 1000  #: Turn numbers to a block of one conversation.
+BLOCK = ["conv", "block"]
 
 
-def positioned(turns: DataFrame) -> DataFrame:
-    """``conv_id, block, pos, role, text`` with ``pos`` from 0 in the order of turn, role and text (nulls first).
+def placed(turns: DataFrame) -> DataFrame:
+    """``conv, block, part, n_turns, pos, role, text`` with ``pos`` from 0 in the order of turn (nulls first, by a hash), role and text.
 
-    Rows that repeat in all four columns count once.
+    Rows that repeat in all four columns count once. A block holds ``TURNS`` turn numbers, or one of
+    4,096 hash ranges of the rows without one; ``part`` numbers the blocks of a conversation. ``conv``
+    is the id in a struct, as which null ids meet each other in joins.
     """
-    rows = turns.select("conv_id", "turn", "role", "text").distinct()
-    rows = rows.withColumn("block", F.floor(F.col("turn") / F.lit(TURNS)))
-    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("conv_id").alias("s_conv"), F.col("block").alias("s_block"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("skip"))
-    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = rows.withColumn("nth", F.row_number().over(order))
-    same = rows["conv_id"].eqNullSafe(sizes["s_conv"]) & rows["block"].eqNullSafe(sizes["s_block"])
-    return rows.join(sizes, same).select("conv_id", "block", (F.col("nth") - 1 + F.col("skip")).cast("bigint").alias("pos"), "role", "text")
-
-
-def prefixes(placed: DataFrame) -> DataFrame:
-    """``placed`` with ``h1, h2``: the hash of the conversation's turns up to and with this one."""
+    rows = turns.select("conv_id", "turn", "role", "text").distinct().withColumn("conv", F.struct("conv_id"))
+    lost = F.when(F.col("turn").isNull(), F.xxhash64(F.lit("turn"), F.col("role").isNull(), "role", F.col("text").isNull(), "text"))
+    rows = rows.withColumn("lost", lost).withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(TURNS)), F.shiftright("lost", 52) - F.lit(1 << 62)))
+    conversation = Window.partitionBy("conv")
+    before = conversation.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*BLOCK).agg(F.count("*").alias("n"))
+    sizes = sizes.select(
+        *BLOCK, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(conversation).alias("n_turns"),
+        (F.row_number().over(conversation.orderBy("block")) - 1).cast("bigint").alias("part"),
+    )
+    order = Window.partitionBy(*BLOCK).orderBy("lost", "turn", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = rows.withColumn("nth", F.row_number().over(order)).join(sizes, BLOCK)
+    return rows.select(*BLOCK, "part", "n_turns", (F.col("nth") - 1 + F.col("skip")).cast("bigint").alias("pos"), "role", "text")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``h1, h2``: the hash of the conversation's turns up to and with this one."""
     parts = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    marks = placed.withColumn("m1", F.xxhash64(F.lit(1), *parts)).withColumn("m2", F.xxhash64(F.lit(2), *reversed(parts)))
-    within = Window.partitionBy("conv_id", "block").orderBy("pos")
-    sums = marks.groupBy("conv_id", "block").agg(F.bit_xor("m1").alias("b1"), F.bit_xor("m2").alias("b2"))
-    before = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        F.col("conv_id").alias("s_conv"), F.col("block").alias("s_block"), F.coalesce(F.bit_xor("b1").over(before), F.lit(0)).alias("p1"), F.coalesce(F.bit_xor("b2").over(before), F.lit(0)).alias("p2")
-    )
-    marks = marks.withColumn("r1", F.bit_xor("m1").over(within)).withColumn("r2", F.bit_xor("m2").over(within))
-    same = marks["conv_id"].eqNullSafe(sums["s_conv"]) & marks["block"].eqNullSafe(sums["s_block"])
-    return marks.join(sums, same).select("conv_id", "block", "pos", "role", "text", F.col("r1").bitwiseXOR(F.col("p1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("p2")).alias("h2"))
+    marks = rows.withColumn("m1", F.xxhash64(F.lit(1), *parts)).withColumn("m2", F.xxhash64(F.lit(2), *reversed(parts)))
+    within = Window.partitionBy(*BLOCK).orderBy("pos")
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marks.groupBy(*BLOCK).agg(F.bit_xor("m1").alias("b1"), F.bit_xor("m2").alias("b2"))
+    sums = sums.select(*BLOCK, F.coalesce(F.bit_xor("b1").over(before), F.lit(0)).alias("p1"), F.coalesce(F.bit_xor("b2").over(before), F.lit(0)).alias("p2"))
+    marks = marks.withColumn("r1", F.bit_xor("m1").over(within)).withColumn("r2", F.bit_xor("m2").over(within)).join(sums, BLOCK)
+    return marks.select(*rows.columns, F.col("r1").bitwiseXOR(F.col("p1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("p2")).alias("h2"))
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, n_copies`` of the conversations that no other one continues, one of each set of equal ones.
+    """``conv, n_copies`` of the conversations that no other one continues, one of each set of equal ones.
 
     Of equal conversations the smallest ``conv_id`` stays. Prefixes and wholes are made distinct
     before they meet, so many copies of one conversation or of one first turn are one row each.
     """
-    last = F.max(F.struct("pos", "h1", "h2")).alias("last")
-    whole = hashed.groupBy("conv_id").agg(last).select("conv_id", (F.col("last.pos") + 1).alias("n_turns"), F.col("last.h1").alias("h1"), F.col("last.h2").alias("h2"))
-    heads = whole.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    ends = whole.select("conv_id", F.col("n_turns").alias("e_turns"))
-    # A prefix proper: the turn at ``pos`` has a turn after it.
-    inner = hashed.select("conv_id", (F.col("pos") + 1).alias("n_turns"), "h1", "h2")
-    inner = inner.join(ends, inner["conv_id"].eqNullSafe(ends["conv_id"]) & (F.col("n_turns") < F.col("e_turns"))).select("n_turns", "h1", "h2").distinct()
-    return heads.join(inner, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_copies")
+    upto = hashed.select("conv", (F.col("pos") + 1).alias("n"), "h1", "h2", (F.col("pos") + 1 == F.col("n_turns")).alias("whole"))
+    heads = upto.filter("whole").groupBy("n", "h1", "h2").agg(F.struct(F.min("conv.conv_id").alias("conv_id")).alias("conv"), F.count("*").alias("n_copies"))
+    inner = upto.filter("not whole").select("n", "h1", "h2").distinct()
+    return heads.join(inner, ["n", "h1", "h2"], "left_anti").select("conv", "n_copies")
 
 
 def render(role, text):
@@ -73,18 +75,14 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     ``part`` numbers the stretches of ``TURNS`` turn numbers from 0 in order (one for all but very long logs);
     their texts put together are the conversation, so no row gathers an unbounded number of turns.
-    A null role renders as user, a null text as empty, null turns come first, and rows with a null
-    ``conv_id`` form one conversation; repeated rows count once; further columns are ignored; an
-    empty table gives an empty result. ``n_copies`` counts the equal conversations that the row
-    stands for (itself included).
+    A null role renders as user, a null text as empty; null turns come first, in the order of a hash;
+    rows with a null ``conv_id`` form one conversation; repeated rows count once; further columns are ignored; an empty table gives an empty result. ``n_copies`` counts the equal
+    conversations that the row stands for (itself included).
     """
-    hashed = prefixes(positioned(turns))
-    stay = maximal(hashed).select(F.col("conv_id").alias("k_conv"), "n_turns", "n_copies")
-    kept = hashed.join(stay, hashed["conv_id"].eqNullSafe(stay["k_conv"])).select("conv_id", "block", "n_turns", "n_copies", "pos", "role", "text")
+    hashed = written(prefixes(placed(turns)), "chat-prefixes")
+    kept = hashed.join(maximal(hashed), "conv").select(*BLOCK, "part", "n_turns", "n_copies", "pos", "role", "text")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", render(F.col("role"), F.col("text")).alias("line")))), lambda x: x["line"]), "")
-    parts = kept.groupBy("conv_id", "block", "n_turns", "n_copies").agg(lines.alias("text"))
-    nth = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
-    return parts.select("conv_id", (F.row_number().over(nth) - 1).cast("bigint").alias("part"), "n_turns", "n_copies", "text")
+    return kept.groupBy("conv.conv_id", "part", "n_turns", "n_copies").agg(lines.alias("text"))
 
 
 #: The same in DuckDB, by comparing the turns themselves.
