@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.llm.shared import cache_of
 from quillmatch.llm.wordtable import WordTable, batches_of, gram_buckets
 
-SAMPLE = 12_000  #: Labelled documents that the n-gram models are counted on, at most about.
+SAMPLE = 3_000  #: Labelled documents of each language that its n-gram model is counted on, at most about.
 BUCKETS = 1 << 16  #: Hash buckets of n-grams.
 ORDERS = (1, 2, 3, 4)
 SMOOTH = 0.5
@@ -27,8 +28,6 @@ SHARPNESS = 0.5  #: Power of a word's likelihood: n-grams of one word overlap.
 ROUNDS = 8
 PENALTY = 3.0  #: Log-likelihood that each further language has to bring, times log of the words.
 
-_TABLES: dict[str, WordTable] = {}
-
 
 def letters(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word.lower()))
@@ -57,20 +56,26 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Language values and ``log p(n-gram | language)``, from a hash sample of about ``sample`` labelled rows."""
+    """Language values and ``log p(n-gram | language)``, from a hash sample of about ``sample`` labelled rows of each language.
+
+    A language of fewer rows is learned from all of them. What reaches the driver is one row of
+    ``BUCKETS`` numbers for each language.
+    """
     usable = labelled.filter("text is not null and lang is not null")
-    n = usable.count()
-    share = min(1.0, sample / n) if n else 1.0
-    chosen = usable.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id", F.length("text")), F.lit(1_000_000)) < int(1_000_000 * share))
-    table = counts(chosen).toPandas()  # bounded: languages x buckets
-    langs = sorted(table["lang"].unique().tolist())
-    logs = np.zeros((BUCKETS, max(len(langs), 1)), np.float32)
-    for k, lang in enumerate(langs):
-        own = table[table["lang"] == lang]
+    share = usable.groupBy("lang").agg((1e6 * F.least(F.lit(1.0), sample / F.count("*"))).cast("bigint").alias("upto"))
+    chosen = usable.join(F.broadcast(share), "lang")  # one row a language
+    chosen = chosen.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id", F.length("text")), F.lit(1_000_000)) < F.col("upto"))
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
         c = np.full(BUCKETS, SMOOTH)
-        c[own["gram"].to_numpy()] += own["n"].to_numpy()
-        logs[:, k] = np.log(c / c.sum())
-    return langs, logs
+        c[frame["gram"].to_numpy()] += frame["n"].to_numpy()
+        return pd.DataFrame({"lang": frame["lang"].iloc[:1], "logs": [np.log(c / c.sum()).astype("<f4").tobytes()]})
+
+    rows = sorted(counts(chosen).groupBy("lang").applyInPandas(model, "lang string, logs binary").collect())  # a group has BUCKETS rows at most
+    logs = np.zeros((BUCKETS, max(len(rows), 1)), np.float32)
+    for k, row in enumerate(rows):
+        logs[:, k] = np.frombuffer(row["logs"], "<f4")
+    return [row["lang"] for row in rows], logs
 
 
 def word_likelihoods(words: list[str], logs: np.ndarray) -> np.ndarray:
@@ -103,17 +108,24 @@ def mixtures(p: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray |
 
 
 def identify(p: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: best language, its proportion, and the penalised choice of how many languages it has."""
+    """Per document: best language, its proportion, and the penalised choice of how many languages it has.
+
+    Sets grow by the languages in the order of their proportions, as long as any document's penalised
+    likelihood still rises: a likelihood that rises no more with one language does not with two, as
+    proportions fall and the penalty is the same.
+    """
     langs = p.shape[1]
     full, _ = mixtures(p, doc, n_docs)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     words = np.bincount(doc, minlength=n_docs)
     best = np.full(n_docs, -np.inf)
     share, size = full.copy(), np.ones(n_docs, np.int64)
-    for k in range(1, min(langs, 4) + 1):
+    for k in range(1, langs + 1):
         own, like = mixtures(p, doc, n_docs, (rank < k), 1 if k == 1 else ROUNDS // 2)
         like = like - PENALTY * (k - 1) * np.log(np.maximum(words, 2))
         better = like > best
+        if not better.any():
+            break
         best[better], share[better], size[better] = like[better], own[better], k
     return share.argmax(axis=1), share.max(axis=1), size
 
@@ -124,10 +136,11 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, key: str) -> Da
     model = docs.sparkSession.sparkContext.broadcast(logs)  # bounded: buckets x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = WordTable(lambda words: word_likelihoods(words, model.value), logs.shape[1] + 1)
-        table = _TABLES[key]
+        held = cache_of("langid")
+        if key not in held:
+            held.clear()
+            held[key] = WordTable(lambda words: word_likelihoods(words, model.value), logs.shape[1] + 1)
+        table = held[key]
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             pred, score, size = [], [], []
