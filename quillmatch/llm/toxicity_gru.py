@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmatch.llm.shared import cache_of
 from quillmatch.llm.wordtable import WordTable, batches_of, gram_buckets, row_sums
 
 PER_LABEL = 1_200  #: Labelled documents of each label that are trained on, at most.
-TRAIN_WINDOWS = 40  #: Windows of one training document, spread over it, at most (scoring takes all).
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16  #: Words of a window, and from one to the next; training and scoring take all windows of a text.
+CHUNK = 4096  #: Windows that are computed at once.
 HIDDEN = 8
 WORD_DIM = CHAR_DIM = 8
 CHAR_BUCKETS = 1 << 13
@@ -31,8 +32,6 @@ LEAST_DOCS = 3  #: Training documents that a word has to be in to get an embeddi
 WORDS = 20_000  #: Words with an embedding of their own, at most.
 EPOCHS, DOCS_A_STEP, RATE = 6, 32, 0.01
 
-_TABLES: dict[str, WordTable] = {}
-
 
 def normal(word: str) -> str:
     return word.lower() if word.isalnum() else "".join(filter(str.isalnum, word.lower()))
@@ -106,11 +105,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def gradient(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, mask: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-    """Loss and gradient of documents given as windows (``at`` into the words ``seen``, ``owner``: document of a window)."""
+def loss_of(logit: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss of documents from their windows' logits, and its gradient: log of summed odds, its sigmoid against the label."""
+    docs = len(label)
+    top = np.full(docs, -np.inf, np.float32)
+    np.maximum.at(top, owner, logit)
+    odds = np.exp(logit - top[owner])
+    total = np.bincount(owner, odds, docs)
+    s = top + np.log(total)
+    loss = float((np.logaddexp(0, s) - label * s).mean())
+    return loss, (((_sigmoid(s) - label) / docs)[owner] * odds / total[owner]).astype(np.float32)
+
+
+def gradient(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, mask: np.ndarray, owner: np.ndarray, label: np.ndarray, chunk: int = CHUNK) -> tuple[float, dict]:
+    """Loss and gradient of documents given as windows (``at`` into the words ``seen``, ``owner``: document of a window).
+
+    Of more than ``chunk`` windows all logits come first; the gradient is then added up chunk by chunk.
+    """
+    x = model.inputs(*seen)
+    if len(at) <= chunk:
+        return backward(model, seen, x, at, mask, lambda logit: loss_of(logit, owner, label))
+    gates = np.concatenate([x @ model.p["W"][k] + model.p["B"][k] for k in (0, 1)], axis=1)
+    cuts = range(0, len(at), chunk)
+    loss, share = loss_of(np.concatenate([model.logits(gates, at[c : c + chunk], mask[c : c + chunk]) for c in cuts]), owner, label)
+    whole: dict = {}
+    for c in cuts:
+        _, grad = backward(model, seen, x, at[c : c + chunk], mask[c : c + chunk], lambda _, c=c: (loss, share[c : c + chunk]))
+        for k, g in grad.items():
+            old = whole.get(k)
+            whole[k] = g if old is None else (g[0], old[1] + g[1]) if isinstance(g, tuple) else old + g
+    return loss, whole
+
+
+def backward(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, at: np.ndarray, mask: np.ndarray, loss_at) -> tuple[float, dict]:
+    """Gradient for windows of the inputs ``x``; ``loss_at(logits)`` gives the loss and its gradient by logit."""
     p, h = model.p, HIDDEN
     own, flat, sizes = seen
-    x = model.inputs(own, flat, sizes)
     n, steps = at.shape
     kept, scores = [], []
     for k in (0, 1):
@@ -132,15 +162,7 @@ def gradient(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], at:
     den = np.maximum(scores[0].sum(0) + scores[1].sum(0), 1e-9)
     pooled = [sum((scores[k][i] / den)[:, None] * kept[k][i][6] for i in range(steps)) for k in (0, 1)]
     logit = pooled[0] @ p["o"][0] + pooled[1] @ p["o"][1] + p["c"][0]
-    # Documents: log of summed odds, its sigmoid against the label; the gradient goes to windows by share.
-    docs = len(label)
-    top = np.full(docs, -np.inf, np.float32)
-    np.maximum.at(top, owner, logit)
-    odds = np.exp(logit - top[owner])
-    total = np.bincount(owner, odds, docs)
-    s = top + np.log(total)
-    loss = float((np.logaddexp(0, s) - label * s).mean())
-    d_logit = (((_sigmoid(s) - label) / docs)[owner] * odds / total[owner]).astype(np.float32)
+    loss, d_logit = loss_at(logit)
     grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("E", "C")}
     grad["c"][0] = d_logit.sum()
     dx = np.zeros_like(x)
@@ -239,10 +261,6 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                 continue
             at = np.concatenate([rows_of[i] for i in chosen])
             first, size, doc = windows(np.array([len(rows_of[i]) for i in chosen]))
-            per = np.bincount(doc, minlength=len(chosen))
-            keep = rng.random(len(doc)) < (TRAIN_WINDOWS / per)[doc]
-            keep[np.r_[True, doc[1:] != doc[:-1]]] = True
-            first, size, doc = first[keep], size[keep], doc[keep]
             mask = (steps[None, :] < size[:, None]).astype(np.float32)
             used, rows = np.unique(at[np.minimum(first[:, None] + steps, len(at) - 1)], return_inverse=True)
             n = sizes[used]
@@ -260,10 +278,10 @@ def score_texts(model: Model, table: WordTable, texts: list[str | None]) -> np.n
         at, ends = table.look_up(texts[a:b])
         first, size, doc = windows(np.diff(np.r_[0, ends]))
         logit = np.zeros(len(doc), np.float64)
-        for i in range(0, len(doc), 4096):
-            f, s = first[i : i + 4096], size[i : i + 4096]
+        for i in range(0, len(doc), CHUNK):
+            f, s = first[i : i + CHUNK], size[i : i + CHUNK]
             mask = (steps[None, :] < s[:, None]).astype(np.float32)
-            logit[i : i + 4096] = model.logits(table.rows, at[np.minimum(f[:, None] + steps, max(len(at) - 1, 0))], mask)
+            logit[i : i + CHUNK] = model.logits(table.rows, at[np.minimum(f[:, None] + steps, max(len(at) - 1, 0))], mask)
         top = np.full(b - a, -np.inf)
         np.maximum.at(top, doc, logit)
         total = np.bincount(doc, np.exp(logit - np.where(np.isfinite(top), top, 0)[doc]), b - a)
@@ -286,7 +304,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, per
         share = min(1.0, 1.2 * per_label / n)
         cut = cut | ((F.col("y") == label) & (F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share)))
     chosen = y.filter(cut).withColumn("nth", nth).filter(F.col("nth") <= per_label)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").filter("text is not null")
+    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of rows that repeat an id one
     got = sorted((r["doc_id"], r["y"], r["text"]) for r in rows.collect())  # bounded by per_label a label
     return [t for _, _, t in got], [v for _, v, _ in got]
 
@@ -295,8 +314,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """One row per row of ``docs(doc_id, text)``: ``doc_id, held_out, score, predicted``.
 
     Learns from ``labels(doc_id, toxic)`` whose ``crc32(doc_id) mod folds`` is not ``held``, at most
-    ``per_label`` documents of each label; null labels, ids and texts teach nothing, and of repeated
-    labels the larger counts. Null and empty texts get the score of no evidence; without both labels
+    ``per_label`` documents of each label; null labels, ids and texts teach nothing, of repeated
+    labels the larger counts, and of rows that repeat an id the smallest text. Null and empty texts get the score of no evidence; without both labels
     all texts get the one label's. Scores come from the text alone; repeated rows each get a row; an
     empty table gives an empty result.
     """
@@ -310,11 +329,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = WordTable(own.projected, 6 * HIDDEN)
+        held = cache_of("toxicity")
+        if key not in held:
+            held.clear()
+            held[key] = WordTable(own.projected, 6 * HIDDEN)
         for batch in batches:
-            p = score_texts(own, _TABLES[key], batch.column("text").to_pylist())
+            p = score_texts(own, held[key], batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )
