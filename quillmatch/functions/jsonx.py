@@ -12,6 +12,7 @@ from quillmatch.schemas import ANALYSIS_LISTS, ANALYSIS_TEXTS
 def extract_json(reply: Column) -> Column:
     """The JSON of a model's reply as text: of the first fenced block if any, else of the whole; else from the first
     brace to the last; else ``{}``. Only what parses counts."""
+    # What fences the JSON of a reply, and from which brace to which it reaches without fences.
     fence = r"```(?:json)?\s*([\s\S]*?)```"
     body = strip(F.when(F.regexp_like(reply, F.lit(fence)), F.regexp_extract(reply, fence, 1)).otherwise(reply))
     braces = F.regexp_extract(body, r"\{[\s\S]*\}", 0)
@@ -19,6 +20,16 @@ def extract_json(reply: Column) -> Column:
     return F.coalesce(parses(body), parses(braces), F.lit("{}"))
 
 
+def strict_json(json: Column) -> Column:
+    """A stored result as a variant; blank is ``{}``. Bad JSON fails the query, as reading one scan or chatting about it does."""
+    return F.parse_json(F.coalesce(F.nullif(json, F.lit("")), F.lit("{}")))
+
+
+def opens(json: Column) -> Column:
+    """Whether ``strict_json`` would not fail."""
+    return F.try_parse_json(F.coalesce(F.nullif(json, F.lit("")), F.lit("{}"))).isNotNull()
+
+
 def has_key(json: Column, key: str) -> Column:
     """Whether an object has a key, a null value included."""
     return F.array_contains(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), key)

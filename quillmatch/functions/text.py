@@ -39,6 +39,7 @@ def clean_ocr(c: Column) -> Column:
     Letters and white space are those of Unicode, so an accented letter is part of its word.
     """
     squeezed = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
+    # The lone characters that stay, and the frame marks.
     lone = F.regexp_replace(squeezed(c), r"(?U)\b[^aAiI]\b", "")
     return F.coalesce(squeezed(F.regexp_replace(lone, r"[|}{~`]", "")), F.lit(""))
 
@@ -75,6 +76,16 @@ def percent(c: Column) -> Column:
     return F.when(c > 0, F.format_string("%.0f%%", F.rint(c * 100)))
 
 
+def nth_part(c: Column, n: int, mark: str = " ") -> Column:
+    """The ``n``-th part (from 0) of a text split at ``mark``; null where there are fewer."""
+    return F.get(F.split(c, f"\\Q{mark}\\E"), F.lit(n))
+
+
+def bearer_token(header: Column) -> Column:
+    """The token of an authorisation header; null for one of another kind."""
+    return F.when(F.startswith(header, F.lit("Bearer ")), nth_part(header, 1))
+
+
 def last_items(c: Column, n: int) -> Column:
     """The last ``n`` items of an array, in order."""
     return F.slice(c, F.greatest(F.size(c) - (n - 1), F.lit(1)), n)

@@ -6,7 +6,7 @@ rows costs what its names cost; document frequencies and the corpus size still c
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,13 +21,20 @@ RANK_DIGITS = 1e6  #: Ranks compare scores rounded to six decimals; ties go to t
 class MatchIndex:
     """``postings(text_id, gram, w)`` with unit-length weights, ``idf(gram, idf)``, ``texts(text_id, ids)``.
 
-    ``text_id`` is the smallest id of a distinct text and ``ids`` its ``keep`` smallest.
+    ``text_id`` is the smallest id of a distinct text and ``ids`` its ``keep`` smallest. A fitted index is
+    persisted when it is first used, in memory and on disk, so that no search fits it again; ``release``
+    ends that, and ``save`` and ``load`` keep it for other sessions.
     """
 
     postings: DataFrame
     idf: DataFrame
     texts: DataFrame
     keep: int
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
     def save(self, path: str) -> None:
         for name in ("postings", "idf", "texts"):
@@ -50,14 +57,16 @@ def fit(corpus: DataFrame, doc_id: str, text: str, keep: int = 5) -> MatchIndex:
     nth = F.row_number().over(Window.partitionBy("n").orderBy("doc_id"))
     least = rows.withColumn("nth", nth).filter(F.col("nth") <= keep).groupBy("n").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     texts = counted.join(least, "n")
-    tf = term_counts(counted.select("text_id", "n"), "text_id")
+    tf = term_counts(counted.select("text_id", "n"), "text_id").persist()
     total = rows.agg(F.count("*").alias("n_docs"))
     df = tf.join(counted.select("text_id", "m"), "text_id").groupBy("gram").agg(F.sum("m").alias("df"))
     idf = df.crossJoin(F.broadcast(total)).select("gram", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     # At most 37**2 + 37**3 + 37**4 n-grams exist over a-z, 0-9 and space: small enough to send to every task.
     weighted = tf.join(F.broadcast(idf), "gram").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("text_id")))
-    return MatchIndex(weighted.select("text_id", "gram", (F.col("w") / norm).alias("w")), idf, texts.select("text_id", "ids"), keep)
+    postings = weighted.select("text_id", "gram", (F.col("w") / norm).alias("w")).persist()
+    idf, texts = idf.persist(), texts.select("text_id", "ids").persist()
+    return MatchIndex(postings, idf, texts, keep, [postings, idf, texts, tf])
 
 
 def scores(index: MatchIndex, queries: DataFrame) -> DataFrame:

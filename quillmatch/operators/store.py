@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions.jsonx import stored_field, stored_field_anywhere
+from quillmatch.functions.jsonx import stored_field, stored_field_anywhere, strict_json
 from quillmatch.functions.text import last_items, leading_int, strip
 
 ROLES = ("user", "assistant")  #: Fixed values: roles that a message may have.
@@ -57,6 +57,34 @@ def upload_name(name: Column) -> Column:
     return F.concat(F.expr("uuid()"), F.regexp_extract(name, r"(\.[^./]*)$", 1))
 
 
+# Answers to one request.
+
+
+def scan_by_id(scans: DataFrame, scan_id: str) -> DataFrame:
+    """The one scan of that id with all its columns, its stored result read strictly: bad JSON fails."""
+    own = scans.filter(F.col("id") == scan_id).limit(1)
+    return own.withColumn("result_json", strict_json(F.col("result_json")))
+
+
+def response(results: DataFrame, image: bool) -> DataFrame:
+    """What a request gets back: ``scan_id``, for an image its ``image_url``, and the fields of ``result``.
+
+    ``results(id, image_path, result)``, ``result`` a struct.
+    """
+    url = [F.concat(F.lit("/uploads/"), F.col("image_path")).alias("image_url")] if image else []
+    return results.select(F.col("id").alias("scan_id"), *url, "result.*")
+
+
+def reply_of(reply: Column, response: Column) -> Column:
+    """The reply of a chat model under either of its names."""
+    return F.coalesce(F.nullif(reply, F.lit("")), response)
+
+
+def shown_reply(response: Column, reply: Column, inner: Column, otherwise: str) -> Column:
+    """What a chat shows: the first of the places that hold a reply, else ``otherwise``."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (response, reply, inner)], F.lit(otherwise))
+
+
 # History.
 
 

@@ -28,6 +28,11 @@ def model_for(language: Column) -> Column:
     return pick(language, MODELS, ANY_MODEL)
 
 
+def prompt(text: Column, language: Column) -> Column:
+    """What a text model is asked where the translation models gave nothing."""
+    return F.concat(F.lit("Translate this medical text into the language "), language, F.lit(". Keep its meaning, explain it simply and give the translation alone:\n\n"), text)
+
+
 def pieces(texts: DataFrame, width: int = 450) -> DataFrame:
     """``text_id, language, model, piece, chunk`` of ``texts(text_id, text, language)``; the source language needs none."""
     rows = texts.filter(F.col("language") != "en-US")

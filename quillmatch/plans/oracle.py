@@ -54,11 +54,15 @@ MESSAGES = "m AS (SELECT CAST(conv_id AS VARCHAR) AS scan_id, turn AS id, role,
 
 
 def clean(c: str) -> str:
-    squeeze = lambda x: r"regexp_replace(regexp_replace(" + x + r", '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-    return squeeze("regexp_replace(regexp_replace(" + squeeze(c) + r", '\b[^aAiI]\b', '', 'g'), '[|}{~`]', '', 'g')")
+    """Character by character: one that differs in kind from both its neighbours goes, unless it is a or i."""
+    squeeze = lambda x: r"regexp_replace(regexp_replace(" + x + r", '[\s\x0b\x85\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')"
+    kind = lambda i: rf"regexp_full_match(substr(x, {i}, 1), '[\p{{L}}\p{{N}}\p{{M}}_]')"
+    stays = f"contains('aAiI', substr(x, i, 1)) OR {kind('i - 1')} = {kind('i')} OR {kind('i')} = {kind('i + 1')}"
+    lone = f"(SELECT array_to_string(list_transform(list_filter(range(1, length(x) + 1), lambda i: {stays}), lambda i: substr(x, i, 1)), '') FROM (SELECT {squeeze(c)} AS x))"
+    return "coalesce(" + squeeze(f"regexp_replace({lone}, '[|}}{{~`]', '', 'g')") + ", '')"
 
 
-WORDS = r"""a AS (SELECT conv_id * 100 + turn AS image_id, text FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*')),
+WORDS = r"""a AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '') || '/' || coalesce(CAST(turn AS VARCHAR), '') AS image_id, text FROM conversations),
     g AS (SELECT v, a.a AS angle, a.i AS i FROM (VALUES (0), (1), (2), (3)) v(v), (VALUES (0, 0), (90, 1), (270, 2)) a(a, i)),
     wd AS (SELECT image_id, v, angle, i, unnest(string_split(text, ' ')) AS t, unnest(range(0, len(string_split(text, ' ')))) AS k FROM a, g),
     cf AS (SELECT *, CAST((length(t) * 7 + k * 3 + v * 5 + i * 11) % 97 - 3 AS DOUBLE) AS conf FROM wd),
@@ -79,7 +83,6 @@ ORACLE: dict[str, str] = {
         p_type AS category, sim AS match_score FROM knn JOIN part ON cid = p_partkey""",
     "knn_master": f"""WITH {knn(MASTER, ASKED, 3)}, {PRICES} SELECT qid, r AS rank, {NORM.format('p_name')} AS brand_name, p_type AS canonical_name, p_type AS composition, p_brand AS manufacturer, 'False' AS is_generic,
         product_price, nppa_price, price_flag, '' AS ratio_market_to_nppa, sim AS match_score FROM knn JOIN m ON cid = p_partkey""",
-    "knn_documents": f"WITH {knn('SELECT doc_id AS id, substr(text, 1, 60) AS t FROM documents', 'SELECT item_id AS id, substr(text, 1, 60) AS t FROM benchmark', 5)} SELECT qid, cid AS doc_id, r AS rank, sim AS match_score FROM knn",
     "lookup": f"""WITH {LOOKUP} SELECT qid, 'branded' AS part, r AS rank, p_name AS name, sim AS match_score FROM knn1 JOIN part ON cid = p_partkey
         UNION ALL SELECT qid, 'generic', r, p_type || ' ' || p_brand, sim FROM knn3 JOIN part ON cid = p_partkey
         UNION ALL SELECT qid, 'master', r, {NORM.format('p_name')}, sim FROM knn2 JOIN part ON cid = p_partkey""",
@@ -113,7 +116,16 @@ ORACLE: dict[str, str] = {
     "append_messages": """SELECT CAST(conv_id AS VARCHAR) AS scan_id, 'user' AS role, text AS content FROM conversations UNION ALL SELECT CAST(conv_id AS VARCHAR), 'assistant', 'assistant' FROM conversations WHERE role = 'assistant'""",
     "append_metrics": f"WITH {METRICS} SELECT endpoint, ms AS response_time_ms, CAST(200 AS BIGINT) AS status_code FROM r",
     "latency": f"WITH {METRICS} SELECT endpoint, count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95, max(ms) AS worst FROM r GROUP BY endpoint",
-    "required_fields": r"SELECT doc_id, regexp_matches(substr(coalesce(text, ''), 1, 40), '\S') AS ok FROM documents",
+    "required_fields": r"SELECT doc_id, regexp_matches(coalesce(text, ''), '\S') AS ok FROM documents",
+    "scan_by_id": f"WITH {SCANS} SELECT id, user_id, image_path, json_extract_string(result_json, '$.data.brand_name') AS brand_name, o_orderstatus AS ocr_text, confidence AS ocr_confidence, 'ocr' AS method FROM s JOIN orders ON o_orderkey = 7 WHERE id = '7'",
+    "stored_results_that_open": f"WITH {SCANS} SELECT id, coalesce(json_valid(result_json), true) AS opens FROM s",
+    "scan_responses": f"""WITH {SCANS} SELECT id AS scan_id, '/uploads/' || image_path AS image_url, CASE CAST(id AS BIGINT) % 6 WHEN 1 THEN true WHEN 2 THEN false END AS success,
+        CASE WHEN CAST(id AS BIGINT) % 6 = 1 THEN json_extract_string(result_json, '$.data.brand_name') END AS brand_name, CASE WHEN CAST(id AS BIGINT) % 6 = 2 THEN 'e' END AS error FROM s""",
+    "chat_replies": """SELECT conv_id, turn, CASE WHEN role = 'assistant' AND text <> '' THEN text WHEN turn % 2 = 0 THEN role END AS reply,
+        coalesce(CASE WHEN turn % 2 = 0 THEN nullif(role, '') END, CASE WHEN role = 'assistant' THEN nullif(text, '') END, 'no reply') AS shown FROM conversations""",
+    "bearer_tokens": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '-') WHEN p_size % 3 = 0 THEN '' WHEN starts_with(p_name, 'Bearer ') THEN split_part(p_name, ' ', 2) END AS token FROM part""",
+    "translation_prompts": f"""WITH {TEXTS} SELECT text_id, 'Translate this medical text into the language ' || language || '. Keep its meaning, explain it simply and give the translation alone:' || chr(10) || chr(10) || text AS prompt
+        FROM t WHERE language <> 'en-US'""",
     "extracted_json": f"""WITH {REPLIES} SELECT event_id, CASE WHEN kind < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN kind = 4 THEN 'busy' END AS error,
         kind < 3 AND coalesce(json_exists(props, '$.k'), false) AS has_k FROM e""",
     "analysis_defaults": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS brand_name, '' AS form, CASE WHEN p_size % 2 = 0 THEN p_type END AS uses, CAST(0 AS BIGINT) AS n_warnings,

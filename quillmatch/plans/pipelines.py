@@ -56,26 +56,31 @@ def search(requests: DataFrame, names: lk.Catalogue, subs: lk.Catalogue, prices:
     return out.unionByName(none)
 
 
-def read_images(images: DataFrame, reader: Callable) -> DataFrame:
-    """``image_id, ocr_text, ocr_confidence`` of ``images(image_id, content)`` by the best of twelve readings."""
-    tries = ocr.candidates(images.sparkSession, images.select("image_id", "content"))
+def read_images(images: DataFrame, reader: Callable, variants: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``image_id, ocr_text, ocr_confidence`` of ``images(image_id, content)`` by the best of twelve readings.
+
+    With ``variants`` (``pixels.image_variants``) the reader gets the pixels of each variant, turned, and
+    images that don't decode have no reading; without, it gets the content and the variant and angle to apply.
+    """
+    tries = variants(images) if variants else ocr.candidates(images.sparkSession, images.select("image_id", "content"))
     words = ask(tries, reader, "words", WORD_LIST).select("image_id", "variant", "angle", F.inline("words"))
     return ocr.best_text(images, words)
 
 
-def analyze(images: DataFrame, reader: Callable, names: lk.Catalogue, subs: lk.Catalogue, prices: lk.Catalogue, text_model: Callable, vision_model: Callable, language: str = "en-US") -> DataFrame:
+def analyze(images: DataFrame, reader: Callable, names: lk.Catalogue, subs: lk.Catalogue, prices: lk.Catalogue, text_model: Callable, vision_model: Callable, language: str = "en-US", variants: Callable | None = None) -> DataFrame:
     """``images(image_id, content)`` to ``image_id, success, data, error``.
 
     Readable images are looked up and analysed by their text, and looked up once more by the name that
     the analysis found, for prices and alternatives; the others go to the vision model and get neither.
     """
-    read = read_images(images, reader).withColumn("method", ocr.route(F.col("ocr_confidence"), F.col("ocr_text")))
+    read = read_images(images, reader, variants).persist().withColumn("method", ocr.route(F.col("ocr_confidence"), F.col("ocr_text")))
     by_text, by_sight = read.filter("method = 'ocr'"), read.filter("method <> 'ocr'")
     first = lk.lookup(by_text.select(F.col("image_id").alias("qid"), F.col("ocr_text").alias("query")), names, subs, prices)
     rows = by_text.join(first.withColumnRenamed("qid", "image_id").drop("query"), "image_id")
     context = F.struct("branded_matches", "generic_alternatives", "master_matches", "price_info")
     rows = rows.select("image_id", "ocr_text", "method", F.col("ocr_text").alias("subject"), analysis_prompt(F.col("ocr_text"), context, F.lit(language)).alias("prompt"))
-    rows = _respond(ask(rows, text_model, "reply", on_error=error_json), None, F.col("ocr_text"), F.col("method"))
+    # The model is asked once; the second lookup reads its answers.
+    rows = _respond(ask(rows, text_model, "reply", on_error=error_json).persist(), None, F.col("ocr_text"), F.col("method"))
     again = rows.select(F.col("image_id").alias("qid"), or_default(F.col("data.brand_name"), or_default(F.col("data.generic_name"), F.col("ocr_text"))).alias("query"))
     second = lk.lookup(again, names, subs, prices).select(F.col("qid").alias("image_id"), "generic_alternatives", "price_info")
     rows = rows.join(second, "image_id", "left").withColumn("data", _with_prices(F.col("price_info"), F.col("generic_alternatives")))
@@ -89,6 +94,19 @@ def analyze(images: DataFrame, reader: Callable, names: lk.Catalogue, subs: lk.C
     return _envelope(rows, "image_id").unionByName(_envelope(seen, "image_id"))
 
 
+def translated(texts: DataFrame, translator: Callable, second: Callable) -> DataFrame:
+    """``text_id, translation`` of ``texts(text_id, text, language)``: by the translation models, piece by piece.
+
+    A text of which they return nothing goes to a second, text model as a whole; what that fails on stays as it is.
+    """
+    parts = ask(translate.pieces(texts), translator, "translation").persist()  # the models are asked once
+    nothing = parts.groupBy("text_id").agg(F.max(strip(F.coalesce("translation", F.lit("")))).alias("most")).filter("most = ''").select("text_id")
+    done = translate.joined(texts, parts).join(nothing, "text_id", "left_anti")
+    rest = texts.join(nothing, "text_id", "left_semi")
+    asked = ask(rest.withColumn("prompt", translate.prompt(F.col("text"), F.col("language"))), second, "translation", on_error=lambda e: "")
+    return done.unionByName(asked.select("text_id", or_default(strip(F.col("translation")), F.col("text")).alias("translation")))
+
+
 def chat(requests: DataFrame, contexts: DataFrame, model: Callable, translator: Callable, system: str = "You answer questions about this product:\n") -> DataFrame:
     """``requests(request_id, scan_id, message, target_language)`` with ``contexts(scan_id, context, history)`` to ``request_id, prompt, reply``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text as tx
-from quillmatch.functions.jsonx import analysis, error_of, extract_json, has_key, stored_field, stored_field_anywhere, valid_analysis
+from quillmatch.functions.jsonx import analysis, error_of, extract_json, has_key, opens, stored_field, stored_field_anywhere, valid_analysis
 from quillmatch.operators import display, ocr, store, translate
 from quillmatch.operators import lookup as lk
 from quillmatch.operators.match import fit, term_counts, top_k
@@ -85,22 +85,13 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the ASCII turns of ``conversations`` as twelve readings an image, with confidences from plain arithmetic."""
-    return words_of(spark, ascii_turns(spark, d))
-
-
-def words_of(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    tries = ocr.candidates(spark, turns)
+    """Words of all turns of ``conversations`` as twelve readings an image, with confidences from plain arithmetic."""
+    tries = ocr.candidates(spark, all_turns(spark, d))
     w = tries.select("image_id", "variant", "angle", "angle_idx", F.posexplode(F.split("text", " ")).alias("word_idx", "text"))
     conf = F.pmod(F.length("text") * 7 + F.col("word_idx") * 3 + F.col("variant") * 5 + F.col("angle_idx") * 11, F.lit(97)) - 3
     return w.select("image_id", "variant", "angle", "word_idx", "text", conf.cast("double").alias("conf"))
 
 
-def ascii_turns(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("image_id"), "text")
-
-
 def all_turns(spark: SparkSession, d: str) -> DataFrame:
     """Every turn of ``conversations`` as an image of its own, under a key of conversation and turn."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -143,14 +134,6 @@ def knn_master(spark, d):
 
 @query
 def knn_documents(spark, d):
-    """Every benchmark passage against the beginnings of all documents, as names."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("text"))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("query"))
-    return top_k(fit(docs, "doc_id", "text"), asked, 5)
-
-
-@query
-def knn_documents_whole(spark, d):
     """Every whole benchmark passage against all whole documents. No SQL: a brute force over a small fixture holds it."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return top_k(fit(table(spark, d, "documents"), "doc_id", "text"), asked, 5)
@@ -320,15 +303,42 @@ def latency(spark, d):
 
 @query
 def required_fields(spark, d):
-    ok, bad = store.required(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("name")), "name")
+    ok, bad = store.required(table(spark, d, "documents").select("doc_id", "text"), "text")
     return ok.select("doc_id", F.lit(True).alias("ok")).unionByName(bad.select("doc_id", F.lit(False).alias("ok")))
 
 
+# One scan, one reply.
+
+
 @query
-def required_fields_whole(spark, d):
-    """The same over whole texts."""
-    ok, bad = store.required(table(spark, d, "documents").select("doc_id", "text"), "text")
-    return ok.select("doc_id", F.lit(True).alias("ok")).unionByName(bad.select("doc_id", F.lit(False).alias("ok")))
+def scan_by_id(spark, d):
+    one = store.scan_by_id(scans(spark, d), "7")
+    return one.select("id", "user_id", "image_path", F.try_variant_get("result_json", "$.data.brand_name", "string").alias("brand_name"), "ocr_text", "ocr_confidence", "method")
+
+
+@query
+def stored_results_that_open(spark, d):
+    return scans(spark, d).select("id", opens(F.col("result_json")).alias("opens"))
+
+
+@query
+def scan_responses(spark, d):
+    shape = "struct<success:boolean,data:struct<brand_name:string>,error:string>"
+    rows = scans(spark, d).withColumn("result", F.coalesce(F.from_json("result_json", shape), F.from_json(F.lit("{}"), shape)))
+    return store.response(rows, image=True).select("scan_id", "image_url", "success", F.col("data.brand_name").alias("brand_name"), "error")
+
+
+@query
+def chat_replies(spark, d):
+    c = table(spark, d, "conversations")
+    reply, other = F.when(F.col("role") == "assistant", F.col("text")).otherwise(""), F.when(F.col("turn") % 2 == 0, F.col("role"))
+    return c.select("conv_id", "turn", store.reply_of(reply, other).alias("reply"), store.shown_reply(other, reply, F.lit(""), "no reply").alias("shown"))
+
+
+@query
+def bearer_tokens(spark, d):
+    header = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Bearer "), F.translate("p_name", " ", "-"))).when(F.col("p_size") % 3 == 0, "Bearer ").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", tx.bearer_token(header).alias("token"))
 
 
 # JSON.
@@ -366,7 +376,7 @@ def stored_names(spark, d):
 
 @query
 def clean_ocr(spark, d):
-    return ascii_turns(spark, d).select("image_id", tx.clean_ocr(F.col("text")).alias("text"))
+    return all_turns(spark, d).select("image_id", tx.clean_ocr(F.col("text")).alias("text"))
 
 
 @query
@@ -376,28 +386,7 @@ def ocr_candidates(spark, d):
 
 @query
 def ocr_best(spark, d):
-    best = ocr.best_text(ascii_turns(spark, d), words(spark, d))
-    return best.select("image_id", "ocr_text", (F.rint(F.col("ocr_confidence") * 1e6) / 1e6).alias("conf"), ocr.route(F.col("ocr_confidence"), F.col("ocr_text")).alias("method"))
-
-
-# The same for all turns. No SQL, as DuckDB's regular expressions differ on other than ASCII: a brute force holds them.
-
-
-@query
-def clean_ocr_all(spark, d):
-    return all_turns(spark, d).select("image_id", tx.clean_ocr(F.col("text")).alias("text"))
-
-
-@query
-def ocr_candidates_all(spark, d):
-    tries = ocr.texts(words_of(spark, all_turns(spark, d)))
-    return tries.select("image_id", "variant", "angle", (F.rint(F.col("conf") * 1e6) / 1e6).alias("conf"), F.length("raw").cast("bigint").alias("n_chars"))
-
-
-@query
-def ocr_best_all(spark, d):
-    turns = all_turns(spark, d)
-    best = ocr.best_text(turns, words_of(spark, turns))
+    best = ocr.best_text(all_turns(spark, d), words(spark, d))
     return best.select("image_id", "ocr_text", (F.rint(F.col("ocr_confidence") * 1e6) / 1e6).alias("conf"), ocr.route(F.col("ocr_confidence"), F.col("ocr_text")).alias("method"))
 
 
@@ -435,6 +424,11 @@ def translations(spark, d):
     return translate.joined(texts, done)
 
 
+@query
+def translation_prompts(spark, d):
+    return _texts(spark, d).filter("language <> 'en-US'").select("text_id", translate.prompt(F.col("text"), F.col("language")).alias("prompt"))
+
+
 @query
 def localised_strings(spark, d):
     """Nations ask for strings; regions below 3 have them, the others get region 0's."""
@@ -473,6 +467,14 @@ def pipeline_search(spark, d):
     return pipelines.search(asked, lk.branded(branded_rows(spark, d)), lk.generics(generic_rows(spark, d)), lk.master(master_rows(spark, d)), providers.stub_analysis)
 
 
+@query
+def pipeline_analyze(spark, d):
+    """Every part name that the stated query set asks for, as an image of its words."""
+    asked = name_queries(spark, d).select(F.col("qid").cast("string").alias("image_id"), F.encode("query", "UTF-8").alias("content"))
+    parts = lk.branded(branded_rows(spark, d)), lk.generics(generic_rows(spark, d)), lk.master(master_rows(spark, d))
+    return pipelines.analyze(asked, providers.stub_words, *parts, providers.stub_analysis, providers.stub_analysis)
+
+
 @query
 def pipeline_chat(spark, d):
     contexts = store.chat_context(scans(spark, d), messages(spark, d))

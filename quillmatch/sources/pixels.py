@@ -1,7 +1,7 @@
-"""Image variants for OCR, in numpy on the executors: grey, thresholded, inverted, thickened, turned.
+"""Image variants for OCR, in numpy on the executors: grey, evened out, thresholded, inverted, thickened, turned.
 
 Only formats that need no codec are decoded here (binary PGM and PPM); another decoder can be passed
-in, as can a step that evens out contrast and noise before the thresholds.
+in, as can the step that evens out contrast and noise before the thresholds (``evened``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 
 from quillmatch.operators.ocr import ANGLES, LONGEST_SIDE
 
-#: Block and offset of the adaptive threshold, weights of red, green and blue.
+#: Block and offset of the adaptive threshold; clip limit and tiles a side of the contrast step;
+#: strength, template and search window of the denoising; weights of red, green and blue.
 BLOCK, OFFSET = 15, 8
+CLIP, TILES = 3.0, 8
+STRENGTH, TEMPLATE, SEARCH = 12, 7, 21
 GREY = np.array([0.299, 0.587, 0.114])
 SCHEMA = "image_id string, variant int, angle int, width int, height int, pixels binary"
 
@@ -49,6 +52,75 @@ def grey(image: np.ndarray) -> np.ndarray:
     return np.rint(image @ GREY).astype(np.uint8) if image.ndim == 3 else image
 
 
+def even_contrast(g: np.ndarray, clip: float = CLIP, tiles: int = TILES) -> np.ndarray:
+    """Contrast-limited adaptive histogram equalisation: a clipped grey scale for each tile, interpolated between tiles."""
+    high, wide = (-(-n // tiles) for n in g.shape)
+    p = np.pad(g, ((0, high * tiles - g.shape[0]), (0, wide * tiles - g.shape[1])), mode="symmetric" if min(g.shape) >= tiles else "edge")
+    most = max(int(clip * high * wide / 256), 1)
+    scales = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            count = np.bincount(p[i * high : (i + 1) * high, j * wide : (j + 1) * wide].ravel(), minlength=256)
+            over = int(np.maximum(count - most, 0).sum())
+            count = np.minimum(count, most) + over // 256
+            if rest := over % 256:
+                count[:: max(256 // rest, 1)][:rest] += 1
+            scales[i, j] = np.rint(np.cumsum(count) * 255 / (high * wide)).clip(0, 255)
+    y, x = (np.arange(g.shape[0]) / high - 0.5, np.arange(g.shape[1]) / wide - 0.5)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    at = lambda dy, dx: scales[np.clip(y0 + dy, 0, tiles - 1)[:, None], np.clip(x0 + dx, 0, tiles - 1)[None, :], g]
+    return np.rint((at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy).astype(np.uint8)
+
+
+def denoise(g: np.ndarray, strength: float = STRENGTH, template: int = TEMPLATE, search: int = SEARCH) -> np.ndarray:
+    """Non-local means: each pixel is the mean of those around it, weighted by how alike their surroundings are."""
+    t, s = template // 2, search // 2
+    p = np.pad(g.astype(np.float32), t + s, mode="symmetric" if min(g.shape) > t + s else "edge")
+    high, wide = g.shape
+    home = p[s : s + high + 2 * t, s : s + wide + 2 * t]
+    total, weight = np.zeros(g.shape), np.zeros(g.shape)
+    for dy in range(2 * s + 1):
+        for dx in range(2 * s + 1):
+            other = p[dy : dy + high + 2 * t, dx : dx + wide + 2 * t]
+            gap = np.pad(np.cumsum(np.cumsum((home - other) ** 2, axis=0, dtype=float), axis=1), ((1, 0), (1, 0)))
+            mean = (gap[template:, template:] - gap[:-template, template:] - gap[template:, :-template] + gap[:-template, :-template]) / template**2
+            w = np.exp(-np.maximum(mean, 0) / strength**2)
+            total += w * other[t : t + high, t : t + wide]
+            weight += w
+    return np.rint(total / weight).astype(np.uint8)
+
+
+def evened(g: np.ndarray) -> np.ndarray:
+    """Contrast evened out, then noise."""
+    return denoise(even_contrast(g))
+
+
+def turned(image: np.ndarray, angle: float) -> np.ndarray:
+    """The image turned counter-clockwise on a canvas that holds all of it: cubic interpolation, edges repeated."""
+    if angle % 90 == 0:
+        return np.rot90(image, int(angle // 90))
+    high, wide = image.shape
+    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    new_w, new_h = int(high * abs(s) + wide * abs(c)), int(high * abs(c) + wide * abs(s))
+    cx, cy = wide // 2, high // 2
+    x, y = np.meshgrid(np.arange(new_w) - cx - (new_w - wide) / 2, np.arange(new_h) - cy - (new_h - high) / 2)
+    sx, sy = c * x - s * y + cx, s * x + c * y + cy
+
+    def weights(f: np.ndarray) -> list[np.ndarray]:
+        a = -0.75
+        near = lambda d: ((a + 2) * d - (a + 3)) * d * d + 1
+        far = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
+        return [far(1 + f), near(f), near(1 - f), far(2 - f)]
+
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    out = np.zeros(sx.shape)
+    for j, wy in enumerate(weights(sy - y0)):
+        for i, wx in enumerate(weights(sx - x0)):
+            out += wy * wx * image[np.clip(y0 + j - 1, 0, high - 1), np.clip(x0 + i - 1, 0, wide - 1)]
+    return np.rint(out).clip(0, 255).astype(np.uint8)
+
+
 def local_threshold(g: np.ndarray) -> np.ndarray:
     """White where a pixel is above its Gaussian-weighted neighbourhood less the offset."""
     half = BLOCK // 2
@@ -92,7 +164,7 @@ def image_variants(images: DataFrame, decode: Callable[[bytes], np.ndarray | Non
             for name, content in zip(frame["image_id"], frame["content"]):
                 image = decode(bytes(content)) if content is not None else None
                 if image is not None:
-                    rows = [(name, v, a, np.rot90(p, a // 90)) for v, p in enumerate(variants(image, even)) for a in ANGLES]
+                    rows = [(name, v, a, turned(p, a)) for v, p in enumerate(variants(image, even)) for a in ANGLES]
                     yield pd.DataFrame([(n, v, a, p.shape[1], p.shape[0], p.tobytes()) for n, v, a, p in rows], columns=["image_id", "variant", "angle", "width", "height", "pixels"])
 
     return images.select("image_id", "content").mapInPandas(run, SCHEMA)

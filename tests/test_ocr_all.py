@@ -37,12 +37,12 @@ def folder(spark, tmp_path_factory):
 
 
 def test_clean_ocr_all(spark, folder):
-    got = {x["image_id"]: x["text"] for x in QUERIES["clean_ocr_all"](spark, folder).collect()}
+    got = {x["image_id"]: x["text"] for x in QUERIES["clean_ocr"](spark, folder).collect()}
     assert got == {f"{c}/{t}": clean(x) for c, t, x in TURNS}
 
 
 def test_ocr_candidates_all(spark, folder):
-    got = {(x["image_id"], x["variant"], x["angle"]): (x["conf"], x["n_chars"]) for x in QUERIES["ocr_candidates_all"](spark, folder).collect()}
+    got = {(x["image_id"], x["variant"], x["angle"]): (x["conf"], x["n_chars"]) for x in QUERIES["ocr_candidates"](spark, folder).collect()}
     assert got == {(f"{c}/{t}", *k): (round(conf, 6), len(raw)) for c, t, x in TURNS for k, (raw, conf) in candidates(x).items()}
 
 
@@ -52,4 +52,4 @@ def test_ocr_best_all(spark, folder):
         found = [(-conf, v, a, clean(raw)) for (v, a), (raw, conf) in candidates(x).items() if len(clean(raw)) > 5]
         conf, _, _, text = min(found, default=(0, 0, 0, ""))
         want[f"{c}/{t}"] = (text, round(-conf, 6), "vision_fallback" if -conf < 40 or len(text) < 10 else "ocr")
-    assert {x["image_id"]: (x["ocr_text"], x["conf"], x["method"]) for x in QUERIES["ocr_best_all"](spark, folder).collect()} == want
+    assert {x["image_id"]: (x["ocr_text"], x["conf"], x["method"]) for x in QUERIES["ocr_best"](spark, folder).collect()} == want

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from quillmatch.functions.jsonx import analysis, error_of, extract_json, valid_analysis
 from quillmatch.operators import display
 from quillmatch.operators import lookup as lk
+from quillmatch.operators import store
 from quillmatch.operators.match import fit
 from quillmatch.plans import pipelines
-from quillmatch.sources import providers
+from quillmatch.sources import pixels, providers
 from quillmatch.streaming import enrich
 from tests.test_match import parts  # noqa: F401
 
@@ -82,3 +83,30 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.sql("select n from lat").collect()) == [3, 5]
     assert lk.BRANDED["price"] == ("price(₹)", "")
+
+
+def test_images_by_their_pixels(spark):
+    """The reader gets the twelve turned variants of what decodes; the rest has no reading."""
+
+    def reader():
+        return lambda frame: [[{"word_idx": 0, "text": f"{w}x{h} seen", "conf": 50.0 + 10 * (a == 90)}] for w, h, a in zip(frame["width"], frame["height"], frame["angle"])]
+
+    images = spark.createDataFrame([("a", b"P5 30 20 255\n" + bytes(range(200)) * 3), ("b", b"junk")], "image_id string, content binary")
+    got = {r["image_id"]: (r["ocr_text"], r["ocr_confidence"]) for r in pipelines.read_images(images, reader, lambda x: pixels.image_variants(x, even=pixels.evened)).collect()}
+    assert got == {"a": ("20x30seen", 60.0), "b": ("", 0.0)}
+
+
+def test_second_translation(spark):
+    texts = spark.createDataFrame([(1, "hello", "hi-IN"), (2, "hello", "en-US"), (3, "  ", "hi-IN"), (4, "hola", "ta-IN")], "text_id long, text string, language string")
+    blank = lambda: lambda frame: [" " if lang == "ta-IN" else f"[{lang}] {t}" for lang, t in zip(frame["language"], frame["chunk"])]
+    second = lambda: lambda frame: [f" second: {p[-4:]}" if p.strip().endswith("hola") else "" for p in frame["prompt"]]
+    got = {r["text_id"]: r["translation"] for r in pipelines.translated(texts, blank, second).collect()}
+    assert got == {1: "[hi-IN] hello", 2: "hello", 3: "[hi-IN]   ", 4: "second: hola"}
+
+
+def test_strict_results(spark):
+    rows = spark.createDataFrame([("1", '{"a":1}'), ("2", "{bad"), ("3", "")], "id string, result_json string")
+    assert store.scan_by_id(rows, "1").select(F.to_json("result_json")).first()[0] == '{"a":1}' and store.scan_by_id(rows, "9").count() == 0
+    assert store.scan_by_id(rows, "3").select(F.to_json("result_json")).first()[0] == "{}"
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        store.scan_by_id(rows, "2").collect()

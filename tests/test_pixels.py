@@ -26,3 +26,19 @@ def test_shrink_and_grey():
     assert pixels.shrink(big[:10, :10]).shape == (10, 10, 3)
     assert pixels.grey(np.array([[[255, 0, 0]]], np.uint8))[0, 0] == 76
     assert pixels.decode_pnm(b"P6 2 1 255 " + bytes(6)).shape == (1, 2, 3) and pixels.decode_pnm(b"P5 9 9 255 x") is None
+
+
+def test_contrast_noise_and_turns():
+    r = np.random.default_rng(2)
+    flat = np.full((40, 48), 120, np.uint8)
+    assert np.ptp(pixels.even_contrast(flat)) == 0 and (pixels.denoise(flat) == 120).all()
+    ramp = np.tile(np.linspace(100, 140, 64).astype(np.uint8), (64, 1))
+    assert np.ptp(pixels.even_contrast(ramp)) > np.ptp(ramp)
+    noisy = np.clip(120 + r.normal(0, 6, (40, 48)), 0, 255).astype(np.uint8)
+    assert pixels.denoise(noisy).std() < 0.4 * noisy.std()
+    edge = np.where(np.arange(48)[None, :] < 24, 20, 220).astype(np.uint8).repeat(40, 0)
+    assert (np.abs(pixels.denoise(edge).astype(int) - edge) <= 2).all()
+    assert (pixels.turned(edge, 90) == np.rot90(edge)).all()
+    half = pixels.turned(edge, 45)
+    assert half.shape == (int(88 * np.sqrt(0.5)), int(88 * np.sqrt(0.5))) and {20, 220} <= set(half.ravel().tolist())
+    assert pixels.evened(r.integers(0, 255, (3, 5)).astype(np.uint8)).shape == (3, 5)

@@ -30,7 +30,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-def test_knn_documents_whole(spark, folder):
+def test_knn_documents(spark, folder):
     tf = {d: counts(t) for d, t in DOCS}
     df = Counter(g for x in tf.values() for g in x)
     idf = {g: math.log((1 + len(DOCS)) / (1 + n)) + 1 for g, n in df.items()}
@@ -45,10 +45,10 @@ def test_knn_documents_whole(spark, folder):
         a = unit(counts(text))
         found = sorted((-round(s, 6), d, s) for d, c in tf.items() if (s := sum(x * unit(c).get(g, 0) for g, x in a.items())) > 0.1)
         want |= {(q, r): (d, s) for r, (_, d, s) in enumerate(found[:5], 1)}
-    got = {(x["qid"], x["rank"]): (x["doc_id"], x["match_score"]) for x in QUERIES["knn_documents_whole"](spark, folder).collect()}
+    got = {(x["qid"], x["rank"]): (x["doc_id"], x["match_score"]) for x in QUERIES["knn_documents"](spark, folder).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == d and abs(got[k][1] - s) < 0.00051 for k, (d, s) in want.items())
     assert {d for (q, _), (d, _) in got.items() if q == 10} >= {1, 6}  # beyond the first 60 characters of 1
 
 
-def test_required_fields_whole(spark, folder):
-    assert {x["doc_id"]: x["ok"] for x in QUERIES["required_fields_whole"](spark, folder).collect()} == {d: bool((t or "").strip()) for d, t in DOCS}
+def test_required_fields(spark, folder):
+    assert {x["doc_id"]: x["ok"] for x in QUERIES["required_fields"](spark, folder).collect()} == {d: bool((t or "").strip()) for d, t in DOCS}
