@@ -31,7 +31,7 @@ SHARD = 8192  #: Fingerprints that are at home in one shard, about.
 SAMPLE = 16_384  #: Distinct fingerprints that vantage points are chosen on, about (of all, every one is in the shards).
 LEVELS = 18  #: Of the tree above the shards, at most; a shard of more is dealt out in blocks.
 LEAF = 64  #: Points below which a branch is compared directly.
-BLOCK = 4096  #: Fingerprints of one shard that one task compares with as many others.
+BLOCK = 131_072  #: Fingerprints of one shard that one task compares with as many others; a usual shard, guests included, is below it.
 HELD = 200_000  #: Links that a shard holds before it reduces them to those that span.
 
 
