@@ -91,6 +91,7 @@ class Open:
     linked: bool  #: Inside a link.
     path: int = 0
     node: int = 0
+    top: int = 0  #: Path of the element that is named as the article.
 
 
 @dataclass
@@ -100,6 +101,7 @@ class Block:
     node: int
     main: int
     other: int
+    top: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -163,7 +165,7 @@ def read(page: str) -> Page:
                 return
             around = stack[-1] if stack else Open("", True, False, 0, 0, False)
             near = next((o.name for o in reversed(stack) if o.block), "")
-            now = Block(near, around.path, around.node, around.main, around.other)
+            now = Block(near, around.path, around.node, around.main, around.other, around.top)
         value = html.unescape(raw)
         now.parts.append(value)
         if stack and stack[-1].linked:
@@ -243,6 +245,7 @@ def read(page: str) -> Page:
                 found.node_parent.append(opened.node)
                 found.node_path.append(paths[key])
                 opened.path, opened.node = paths[key], len(found.node_parent) - 1
+            opened.top = opened.path if opened.main > (parent.main if parent else 0) else parent.top if parent else 0
             stack.append(opened)
             names[name] += 1
         elif m["end"]:
@@ -333,9 +336,9 @@ def region(page: Page, share: float = 0.7) -> tuple[np.ndarray, int | None]:
     for level in (3, 2, 1):
         inside = main >= level
         if inside.any() and 2 * plain[inside].sum() >= plain.sum():
-            first = next(b for b, own in zip(blocks, inside) if own)
+            top = min(b.top for b, own in zip(blocks, inside) if own)  # a path comes before what is in it
             beside = np.array([bool(b.main) and not b.linked and b.name == "h1" for b in blocks])
-            return inside | beside, first.path
+            return inside | beside, top
     at = np.array([b.node for b in blocks])
     weight = scores(page)[[b.path for b in blocks]] * [len(b.text) for b in blocks]
     held = sums(page.node_parent, at, np.stack([weight, np.ones(len(blocks))], axis=1))
@@ -352,9 +355,6 @@ def chosen(page: Page) -> np.ndarray:
     """Which blocks are content: those on a path whose score passes the threshold, and the headings of such."""
     blocks = page.blocks
     inside, named = region(page)
-    if named is not None:  # from the outermost path of the article
-        while page.path_parent[named] and any(b.path == page.path_parent[named] for b, own in zip(blocks, inside) if own):
-            named = page.path_parent[named]
     score = scores(page, inside, named)[[b.path for b in blocks]]
     weight = score * [len(b.text) for b in blocks]
     level = (score * weight).sum() / max(weight.sum(), 1e-300)
