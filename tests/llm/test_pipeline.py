@@ -1,5 +1,4 @@
 import random
-import re
 from pathlib import Path
 
 import pytest
@@ -20,7 +19,7 @@ def corpus(spark, folder):
 
 
 def test_stages(spark, tmp_path):
-    rows = corpus(spark, tmp_path)
+    corpus(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, seen = docs.columns, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -37,7 +36,7 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == seen[3]
     assert len({r["sequence_id"] for r in out}) >= -(-sum(r["length"] for r in out) // 2048)
-    assert re.fullmatch(r"[a-z_0-9]+", corpus_pipeline.STAGES[0][0]) and len(rows) == 129
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "mixing", "packing"]
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="needs the driver's tables")
