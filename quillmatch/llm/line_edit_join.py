@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +30,7 @@ PER_EDIT = 15  #: Characters that a line needs for each edit: shorter ones go as
 SIGN_BITS = 24  #: Bits of a line's id that hold the parity of its characters' counts, by character bucket.
 SLICE = 300_000  #: Characters that are hashed, or of candidates that are compared, at once.
 BLOCK = 1024  #: Entries of one key that one task compares with as many others.
+FILTER_BITS = 1 << 27  #: Of the map of keys that meet; it has 16 MB at any size, and lets through more where it is fuller.
 SEEN = 200_000  #: Lines that a task remembers having indexed.
 SPACE = " \t\n\x0b\x0c\r"  #: What stands between words.
 
@@ -227,11 +229,29 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return in_tasks(docs.select(*row_key(), "text"), run, f"rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint", text=3)
 
 
-def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
+def key_map(keys: DataFrame) -> np.ndarray:
+    """A bit for each of ``FILTER_BITS`` hash values of ``keys(key)``, as words of 64."""
+    marks = keys.select(F.expr(f"pmod(shiftright(key, 8), {FILTER_BITS})").alias("bit"))
+    words = marks.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mark"))
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:  # 8,192 words at most
+        out = np.zeros(1 << 13, np.int64)
+        out[frame["word"].to_numpy() % (1 << 13)] = frame["mark"].to_numpy()
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "bits": [out.tobytes()]})
+
+    parts = words.withColumn("part", F.shiftright("word", 13)).groupBy("part").applyInPandas(packed, "part bigint, bits binary")
+    out = np.zeros((FILTER_BITS >> 19, 1 << 13), np.uint64)
+    for row in parts.collect():  # 256 rows of 64 kB
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint64)
+    return out.ravel()
+
+
+def entries(docs: DataFrame, least: int, edits: int, wanted: np.ndarray | None = None) -> DataFrame:
     """``key, line, probe`` of every line that may have an edit: its index entries (``probe`` 0) and probes (1).
 
     ``line`` is 40 bits of the line's hash and its parity sign. A task leaves out lines that it has
-    just seen; what other tasks repeat goes when equal keys meet.
+    just seen; what other tasks repeat goes when equal keys meet. With ``wanted``, a map of keys, entries
+    of keys that are not in it stay behind.
     """
 
     def keyed(lines: list[str], ids: np.ndarray, allowed: int) -> pa.RecordBatch:
@@ -242,6 +262,9 @@ def entries(docs: DataFrame, least: int, edits: int) -> DataFrame:
         what = np.tile(np.r_[np.zeros(index.shape[1]), np.ones(probe.shape[1])].astype(bool), len(line))
         key = key.ravel()
         some = key != 0
+        if wanted is not None:
+            bit = (key >> np.uint64(8)) & np.uint64(FILTER_BITS - 1)
+            some &= (wanted[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
         return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(who[some].view(np.int64)), pa.array(what[some])], names=["key", "line", "probe"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +299,8 @@ def members(docs: DataFrame, least: int, edits: int) -> DataFrame:
     """``key, line, probe``: the entries of keys at which an index entry meets another line's probe."""
     found = entries(docs, least, edits)
     flags = found.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.max("probe").alias("probed"), F.min("probe").alias("all_probes"))
-    meet = flags.filter("least <> most and probed and not all_probes").select("key")
-    return found.join(written(meet, "lines-keys"), "key", "left_semi").distinct()
+    meet = written(flags.filter("least <> most and probed and not all_probes").select("key"), "lines-keys")
+    return entries(docs, least, edits, key_map(meet)).join(meet, "key", "left_semi").distinct()
 
 
 def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> DataFrame:
