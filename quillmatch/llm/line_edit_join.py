@@ -6,7 +6,7 @@ distinct line is split into one segment more than its edits; two lines within th
 of them whole, at a place that their lengths and the number of edits bound. Where fewer edits are
 allowed, lines have segments of their own. So segments are indexed by (length, number, hash) and every line probes the substrings
 that can match an index entry of a line as long or shorter (length-aware, multi-match-aware
-selection). Candidates are verified where they meet, by a banded bit-parallel edit distance, so only
+selection); an index entry stands for the probe of the same key too. Candidates are verified where they meet, by a banded bit-parallel edit distance, so only
 lines that have to go leave a task, never pairs; keys that many lines share are dealt out in blocks.
 """
 
@@ -56,13 +56,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def selection(edits: int) -> list[tuple[int, int, int]]:
-    """``(shorter, segment, shift)``: where a line probes the segment of a line ``shorter`` characters shorter."""
+    """``(shorter, segment, shift)``: where a line probes the segment of a line ``shorter`` characters shorter.
+
+    Without the probes at a line's own segments (0, segment, 0): these have the keys of its index entries,
+    so lines of equal length that share a segment at its place meet as index entries.
+    """
     out = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             lo = max(-i, shorter - (edits - i))
             hi = min(i, shorter + (edits - i))
-            out += [(shorter, i, shift) for shift in range(lo, hi + 1)]
+            out += [(shorter, i, shift) for shift in range(lo, hi + 1) if shorter or shift]
     return out
 
 
@@ -296,10 +300,10 @@ def entries(docs: DataFrame, least: int, edits: int, wanted: np.ndarray | None =
 
 
 def members(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """``key, line, probe``: the entries of keys at which an index entry meets another line's probe."""
+    """``key, line, probe``: the entries of keys at which an index entry meets another line's entry."""
     found = entries(docs, least, edits)
-    flags = found.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.max("probe").alias("probed"), F.min("probe").alias("all_probes"))
-    meet = written(flags.filter("least <> most and probed and not all_probes").select("key"), "lines-keys")
+    flags = found.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.min("probe").alias("all_probes"))
+    meet = written(flags.filter("least <> most and not all_probes").select("key"), "lines-keys")
     return entries(docs, least, edits, key_map(meet)).join(meet, "key", "left_semi").distinct()
 
 
@@ -361,7 +365,7 @@ class Verifier:
         pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for of in (0, 1) if two else (0,):
             i = np.flatnonzero(~probe & (side == of)) if two else np.flatnonzero(~probe)
-            j = np.flatnonzero(probe & (side != of)) if two else np.flatnonzero(probe)
+            j = np.flatnonzero(side != of) if two else np.arange(len(line))
             # One edit changes the parity of two characters at most.
             apart = np.bitwise_count((line[i][:, None] ^ line[j][None, :]) & np.uint64((1 << SIGN_BITS) - 1))
             x, y = np.nonzero((apart <= 2 * self.edits) & (name[i][:, None] != name[j][None, :]))
