@@ -307,6 +307,34 @@ def members(docs: DataFrame, least: int, edits: int) -> DataFrame:
     return entries(docs, least, edits, key_map(meet)).join(meet, "key", "left_semi").distinct()
 
 
+def bodies(docs: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
+    """``line, h_a, h_b, body`` of the lines whose names are in a map; a task leaves out those that it has just seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            held: list[str] = []
+            ids: list[tuple[int, int]] = []
+            for text in batch.column(0).to_pylist():
+                for line in text.split("\n"):
+                    if len(line) >= max(least, PER_EDIT) and line.strip(SPACE):
+                        h = line_ids(line)
+                        bit = (h[0] >> SIGN_BITS) & (FILTER_BITS - 1)
+                        if int(wanted[bit >> 6]) >> (bit & 63) & 1 and h not in seen:
+                            if len(seen) > SEEN:
+                                seen.clear()
+                            seen.add(h)
+                            held.append(line)
+                            ids.append(h)
+            for at, end in in_parts(held):
+                a, b = (np.array(x, np.int64) for x in zip(*ids[at:end]))
+                _, start, mixed = _characters(held[at:end])
+                name = named(a, _parity(mixed, start)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(a), pa.array(b), pa.array(held[at:end], pa.string())], names=["line", "h_a", "h_b", "body"])
+
+    return in_tasks(docs.select("text").filter("text is not null"), run, "line bigint, h_a bigint, h_b bigint, body string", text=0)
+
+
 def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> DataFrame:
     """``h_a, h_b`` of the distinct lines that an earlier distinct line lies within ``edits`` of, or what their lengths allow.
 
@@ -314,36 +342,10 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> Dat
     """
     met = written(members(docs, least, edits), "lines-members")
     short = F.shiftright("h_a", SIGN_BITS)
-    places = first.withColumn("short", short).join(met.select(F.shiftright("line", SIGN_BITS).alias("short")).distinct(), "short", "left_semi")
-    by_doc = places.groupBy("at.rk_a", "at.rk_b").agg(F.collect_list(F.struct("at.line_no", "h_a", "h_b")).alias("picks"))  # of one document
-    whole = docs.select(*row_key(), "text")
-    picked = whole.join(by_doc, same_key(whole, by_doc)).select("rk_id", whole["rk_a"], whole["rk_b"], "text", "picks")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            who, no, a, b, out, ids = [], [], [], [], [], []
-            for i, (text, picks) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                lines = text.split("\n")
-                for p in picks:
-                    who.append(i)
-                    no.append(p["line_no"])
-                    a.append(p["h_a"])
-                    b.append(p["h_b"])
-                    out.append(lines[p["line_no"]])
-            if out:
-                for at, end in in_parts(out):
-                    _, start, mixed = _characters(out[at:end])
-                    ids += named(np.array(a[at:end], np.int64), _parity(mixed, start)).view(np.int64).tolist()
-                take = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), *(batch.column(k).take(take) for k in range(3)), pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.string())],
-                    names=["line", "rk_id", "rk_a", "rk_b", "line_no", "h_a", "h_b", "body"],
-                )
-
-    texts = in_tasks(picked, pick, f"line bigint, rk_id {kind}, rk_a bigint, rk_b bigint, line_no int, h_a bigint, h_b bigint, body string", text=3)
-    # Repeated rows (same id and text) give the same lines.
-    texts = written(texts.dropDuplicates(["h_a", "h_b"]).select("line", "h_a", "h_b", _place().alias("at"), "body"), "lines-texts")
+    names = met.select(F.shiftright("line", SIGN_BITS).alias("short")).distinct()
+    places = first.withColumn("short", short).join(names, "short", "left_semi").select("h_a", "h_b", "at")
+    texts = bodies(docs, key_map(names.select(F.shiftleft("short", 8).alias("key"))), least).dropDuplicates(["h_a", "h_b"])
+    texts = written(texts.join(places, ["h_a", "h_b"]).select("line", "h_a", "h_b", "at", "body"), "lines-texts")
     cells = block_pairs(met, "key", "line", BLOCK).drop("key").join(texts, "line")
     verifier = Verifier(edits)
     near = written(in_cells(cells, verifier, "h_a bigint, h_b bigint", verifier.finish).distinct(), "lines-near")
