@@ -354,44 +354,73 @@ def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> Dat
 
 
 class Verifier:
-    """Finds the candidates of each cell and verifies those of many cells together; gives the hashes of the later lines."""
+    """Finds the candidates of each cell and verifies those of many cells together; gives the hashes of the later lines.
+
+    The candidates of a cell are taken from its earliest lines on, a bounded part at a time; a line that has
+    been found near an earlier one is the later line of no further candidate there.
+    """
 
     def __init__(self, edits: int):
         self.edits, self.chars = edits, 0
         self.pairs: list[tuple[str, str, tuple[int, int]]] = []
+        self.later: set[tuple[int, int]] = set()
 
     def __call__(self, table: pa.Table, start: int, end: int) -> pa.RecordBatch | None:
         own = table.slice(start, end - start)
         line, probe, side = own["line"].to_numpy().view(np.uint64), own["probe"].to_numpy(), own["side"].to_numpy()
-        name, two = own["h_a"].to_numpy(), bool(side.any())
-        pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        two = bool(side.any())
+        _, row, name = np.unique(own["h_a"].to_numpy(), return_index=True, return_inverse=True)
+        met = [np.zeros(0, np.int64)]
         for of in (0, 1) if two else (0,):
             i = np.flatnonzero(~probe & (side == of)) if two else np.flatnonzero(~probe)
             j = np.flatnonzero(side != of) if two else np.arange(len(line))
             # One edit changes the parity of two characters at most.
             apart = np.bitwise_count((line[i][:, None] ^ line[j][None, :]) & np.uint64((1 << SIGN_BITS) - 1))
             x, y = np.nonzero((apart <= 2 * self.edits) & (name[i][:, None] != name[j][None, :]))
-            for a, b in zip(i[x].tolist(), j[y].tolist()):
-                pairs[(min(name[a], name[b]), max(name[a], name[b]))] = (a, b)
-        rows: dict[int, tuple] = {}
-        for a, b in pairs.values():
-            for k in (a, b):
-                if k not in rows:
-                    rows[k] = (tuple(own["at"][k].as_py().values()), own["body"][k].as_py(), (own["h_a"][k].as_py(), own["h_b"][k].as_py()))
-            later = rows[a] if rows[a][0] > rows[b][0] else rows[b]
-            self.pairs.append((rows[a][1], rows[b][1], later[2]))
-            self.chars += len(later[1])
-        return self.finish() if self.chars > 4 * SLICE else None
-
-    def finish(self) -> pa.RecordBatch | None:
-        """Verifies what is held."""
-        later: set[tuple[int, int]] = set()
+            a, b = name[i[x]], name[j[y]]
+            met.append(np.unique(np.minimum(a, b) * len(row) + np.maximum(a, b)))
+        a, b = np.divmod(np.unique(np.concatenate(met)), len(row))
+        if len(a):
+            self._hold(own, row, a, b)
+        return self._given()
+
+    def _hold(self, own: pa.Table, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Keeps the candidates ``a[k], b[k]`` (of which ``row`` gives the rows) to verify, or does so when they are many."""
+        some = np.unique(np.r_[a, b])
+        place = {k: tuple(own["at"][int(row[k])].as_py().values()) for k in some.tolist()}
+        rank = np.zeros(len(row), np.int64)
+        rank[sorted(place, key=place.__getitem__)] = np.arange(len(some))
+        first, last = np.where(rank[a] < rank[b], a, b), np.where(rank[a] < rank[b], b, a)
+        order = np.lexsort((rank[last], rank[first]))
+        read: dict[int, tuple[str, tuple[int, int]]] = {}
+        for pair in zip(first[order].tolist(), last[order].tolist()):
+            for k in pair:
+                if k not in read:
+                    at = int(row[k])
+                    read[k] = own["body"][at].as_py(), (own["h_a"][at].as_py(), own["h_b"][at].as_py())
+            (early, _), (late, h) = read[pair[0]], read[pair[1]]
+            if h not in self.later:
+                self.pairs.append((early, late, h))
+                self.chars += len(late)
+                if self.chars > 4 * SLICE:
+                    self._verify()
+
+    def _verify(self) -> None:
         for allowed in range(1, self.edits + 1):
             own = [p for p in self.pairs if min(self.edits, min(len(p[0]), len(p[1])) // PER_EDIT) == allowed]
-            later.update(h for (_, _, h), ok in zip(own, within([x for x, _, _ in own], [y for _, y, _ in own], allowed)) if ok)
+            self.later.update(h for (_, _, h), ok in zip(own, within([x for x, _, _ in own], [y for _, y, _ in own], allowed)) if ok)
         self.pairs, self.chars = [], 0
+
+    def _given(self) -> pa.RecordBatch | None:
+        """The lines found since the last call."""
+        later, self.later = self.later, set()
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in later], pa.int64()), pa.array([b for _, b in later], pa.int64())], names=["h_a", "h_b"]) if later else None
 
+    def finish(self) -> pa.RecordBatch | None:
+        """Verifies what is held."""
+        self._verify()
+        return self._given()
+
 
 def _place():
     """The place of a line in the order of the corpus: null ids last, then by id, text hash and line."""
