@@ -59,9 +59,26 @@ def discard(*tables: DataFrame) -> None:
     """Deletes what ``written`` wrote for these tables; nothing that is still to be computed may read them."""
     for table in tables:
         if path := _PATHS.pop(table, None):
-            context = table.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            delete(table.sparkSession, path)
+
+
+def _placed(spark: SparkSession, path: str) -> tuple:
+    """A path of whatever store, with the file system that has it."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder with what is in it."""
+    place, store = _placed(spark, path)
+    store.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Makes a folder if it is not there."""
+    place, store = _placed(spark, path)
+    store.mkdirs(place)
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:

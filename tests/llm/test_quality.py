@@ -19,7 +19,7 @@ def test_repeat_words():
 
 
 def test_measures_and_verdict(spark):
-    own = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{'xyz'[i // 26]}w{k}" for k in range(20))  # noqa: E731  letters, as digits are alike
     rows = [(i, f"Menu bar {i % 10} here for all of you who read pages on this host today\n{own(i)}", "en", "a", 5, None) for i in range(30)]
     rows += [(100 + i, f"Menu bar {i % 10} here for all of you who read pages on this host today\nabc {'x' * i}", "en", "a", 5, None) for i in range(30)]
     rows += [(200, None, None, None, None, None), (201, " \n ", "en", None, 3, None), (202, "a#b $c\na#b $c d\na#b $c", "en", "b", 9, None)]
