@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.llm import chat_collapse, digest_index, quality_lines
+from quillmatch.llm import chat_collapse, digest_index, quality_lines, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,15 +70,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmatch.llm.vector_codes import compressed
-
-    return compressed(_table(spark, sf_dir, "embeddings"))
-
-
-def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmatch.llm.prefix_trie import prefix_trie
-
-    return prefix_trie(_table(spark, sf_dir, "conversations"))
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
 
 
 def op13_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_embedding": op10_embedding,
+    "op11_codes": op11_codes,
     "op13_dedup": op13_dedup,
 }
 
-ORACLE: dict[str, str] = {"op2_chat": chat_collapse.ORACLE_SQL, "op5_quality": quality_lines.ORACLE_SQL, "op13_dedup": digest_index.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_chat": chat_collapse.ORACLE_SQL, "op5_quality": quality_lines.ORACLE_SQL, "op11_codes": vector_codes.ORACLE_SQL, "op13_dedup": digest_index.ORACLE_SQL}
