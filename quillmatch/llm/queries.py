@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.llm import chat_collapse, digest_index, quality_lines, vector_codes
+from quillmatch.llm import chat_collapse, digest_index, prefix_trie, quality_lines, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -89,7 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_embedding": op10_embedding,
     "op11_codes": op11_codes,
+    "op12_trie": op12_trie,
     "op13_dedup": op13_dedup,
 }
 
-ORACLE: dict[str, str] = {"op2_chat": chat_collapse.ORACLE_SQL, "op5_quality": quality_lines.ORACLE_SQL, "op11_codes": vector_codes.ORACLE_SQL, "op13_dedup": digest_index.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_chat": chat_collapse.ORACLE_SQL, "op5_quality": quality_lines.ORACLE_SQL, "op11_codes": vector_codes.ORACLE_SQL, "op12_trie": prefix_trie.ORACLE_SQL, "op13_dedup": digest_index.ORACLE_SQL}
