@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions.text import or_default, strip
-from quillmatch.operators.match import MatchIndex, fit, top_k
+from quillmatch.sources import scratch
+from quillmatch.operators.match import MatchIndex, fit_stacked, fit_stored, top_k
 
 #: Output name -> column of the catalogue, and the default where the column is absent from it.
 BRANDED = {
@@ -39,27 +40,66 @@ def project(catalogue: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFra
 
 @dataclass
 class Catalogue:
+    """The output columns of a catalogue, and the index that has it under the name ``cat``."""
+
     rows: DataFrame
     index: MatchIndex
+    cat: str = ""
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """``qid, rank``, the output columns and ``match_score`` of the best ``k`` rows for each query."""
-        return top_k(self.index, queries, k).join(self.rows, "doc_id").drop("doc_id")
+        asked = queries.select(F.lit(self.cat).alias("cat"), "qid", "query")
+        return self.named(top_k(self.index, asked, k))
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """The matches of this catalogue in ``found(cat, qid, doc_id, rank, match_score)`` with its output columns."""
+        return found.filter(F.col("cat") == self.cat).drop("cat").join(self.rows, "doc_id").drop("doc_id")
+
+
+def branded_text(catalogue: DataFrame) -> Column:
+    return column_or(catalogue, "name", "")
+
+
+def generic_text(catalogue: DataFrame) -> Column:
+    return column_or(catalogue, "Generic Name", "")
+
+
+def master_text(catalogue: DataFrame) -> Column:
+    """``brand_clean``, or ``canonical_inn`` where that header is missing."""
+    name = "brand_clean" if "brand_clean" in catalogue.columns else "canonical_inn"
+    return F.col(name) if name in catalogue.columns else F.lit("")
+
+
+#: Catalogue -> its output columns and the text that is matched.
+KINDS = {"branded": (BRANDED, branded_text), "generics": (GENERIC, generic_text), "master": (MASTER, master_text)}
+
+
+def catalogues(keep: int = 5, stored: bool = False, **tables: DataFrame) -> list[Catalogue]:
+    """The given catalogues, by the names of ``KINDS``, in one stacked index; a stored one pays where it is searched more than once."""
+    texts = {name: (df.withColumn("text", KINDS[name][1](df)), "doc_id", "text") for name, df in tables.items()}
+    index = fit_stored(texts, keep=keep) if stored else fit_stacked(texts, keep)
+    return [Catalogue(project(df, KINDS[name][0]), index, name) for name, df in tables.items()]
 
 
 def branded(catalogue: DataFrame) -> Catalogue:
-    return Catalogue(project(catalogue, BRANDED), fit(catalogue.withColumn("text", column_or(catalogue, "name", "")), "doc_id", "text"))
+    return catalogues(branded=catalogue)[0]
 
 
 def generics(catalogue: DataFrame) -> Catalogue:
-    return Catalogue(project(catalogue, GENERIC), fit(catalogue.withColumn("text", column_or(catalogue, "Generic Name", "")), "doc_id", "text"))
+    return catalogues(generics=catalogue)[0]
 
 
 def master(catalogue: DataFrame) -> Catalogue:
-    """The master index reads ``brand_clean``, or ``canonical_inn`` where that header is missing."""
-    name = "brand_clean" if "brand_clean" in catalogue.columns else "canonical_inn"
-    text = F.col(name) if name in catalogue.columns else F.lit("")
-    return Catalogue(project(catalogue, MASTER), fit(catalogue.withColumn("text", text), "doc_id", "text"))
+    return catalogues(master=catalogue)[0]
+
+
+def search_both(queries: DataFrame, one: Catalogue, other: Catalogue, k: int) -> tuple[DataFrame, DataFrame]:
+    """The matches of the same queries in two catalogues: by one search where one index has both."""
+    if one.index is not other.index:
+        return one.search(queries, k), other.search(queries, k)
+    cats = F.explode(F.array(F.lit(one.cat), F.lit(other.cat))).alias("cat")
+    found = scratch.stored(top_k(one.index, queries.select(cats, "qid", "query"), k), "found")  # at most k rows a query; read several times
+    return one.named(found), other.named(found)
 
 
 def composition_query(first: Column, second: Column, query: Column) -> Column:
@@ -85,11 +125,10 @@ def lookup(queries: DataFrame, names: Catalogue, subs: Catalogue, prices: Catalo
     """One row a query: ``qid, query, branded_matches, generic_alternatives, master_matches, price_info``.
 
     Generics are searched by the composition of the first branded match, so the second search is a
-    query table derived from the first. ``price_info`` is of the first master match, whatever brand
+    query table derived from the first; catalogues of one stacked index are searched together. ``price_info`` is of the first master match, whatever brand
     came first.
     """
-    brand = names.search(queries, 3)
-    prime = prices.search(queries, 3)
+    brand, prime = search_both(queries, names, prices, 3)
     first = brand.filter("rank = 1").select("qid", "composition1", "composition2")
     asked = queries.join(first, "qid", "left").select("qid", composition_query(F.col("composition1"), F.col("composition2"), F.col("query")).alias("query"))
     out = queries.select("qid", "query")

@@ -83,6 +83,7 @@ ORACLE: dict[str, str] = {
         p_type AS category, sim AS match_score FROM knn JOIN part ON cid = p_partkey""",
     "knn_master": f"""WITH {knn(MASTER, ASKED, 3)}, {PRICES} SELECT qid, r AS rank, {NORM.format('p_name')} AS brand_name, p_type AS canonical_name, p_type AS composition, p_brand AS manufacturer, 'False' AS is_generic,
         product_price, nppa_price, price_flag, '' AS ratio_market_to_nppa, sim AS match_score FROM knn JOIN m ON cid = p_partkey""",
+    "knn_documents": f"WITH {knn('SELECT doc_id AS id, text AS t FROM documents', 'SELECT item_id AS id, text AS t FROM benchmark', 5)} SELECT qid, cid AS doc_id, r AS rank, sim AS match_score FROM knn",
     "lookup": f"""WITH {LOOKUP} SELECT qid, 'branded' AS part, r AS rank, p_name AS name, sim AS match_score FROM knn1 JOIN part ON cid = p_partkey
         UNION ALL SELECT qid, 'generic', r, p_type || ' ' || p_brand, sim FROM knn3 JOIN part ON cid = p_partkey
         UNION ALL SELECT qid, 'master', r, {NORM.format('p_name')}, sim FROM knn2 JOIN part ON cid = p_partkey""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import text as tx
 from quillmatch.functions.jsonx import analysis, error_of, extract_json, has_key, opens, stored_field, stored_field_anywhere, valid_analysis
-from quillmatch.operators import display, ocr, store, translate
+from quillmatch.operators import block_search, display, ocr, store, translate
 from quillmatch.operators import lookup as lk
 from quillmatch.operators.match import fit, term_counts, top_k
 from quillmatch.plans import pipelines
@@ -134,13 +134,17 @@ def knn_master(spark, d):
 
 @query
 def knn_documents(spark, d):
-    """Every whole benchmark passage against all whole documents. No SQL: a brute force over a small fixture holds it."""
+    """Every whole benchmark passage against all whole documents."""
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return top_k(fit(table(spark, d, "documents"), "doc_id", "text"), asked, 5)
+    return block_search.top_k(block_search.fit(table(spark, d, "documents"), "doc_id", "text"), asked, 5)
+
+
+def _catalogues(spark, d):
+    return lk.catalogues(stored=True, branded=branded_rows(spark, d), generics=generic_rows(spark, d), master=master_rows(spark, d))
 
 
 def _looked_up(spark, d):
-    return lk.lookup(name_queries(spark, d), lk.branded(branded_rows(spark, d)), lk.generics(generic_rows(spark, d)), lk.master(master_rows(spark, d)))
+    return lk.lookup(name_queries(spark, d), *_catalogues(spark, d))
 
 
 @query
@@ -464,15 +468,14 @@ def catalogue_counts(spark, d):
 @query
 def pipeline_search(spark, d):
     asked = name_queries(spark, d).select("qid", F.col("query").alias("name"), F.lit("en-US").alias("target_language"))
-    return pipelines.search(asked, lk.branded(branded_rows(spark, d)), lk.generics(generic_rows(spark, d)), lk.master(master_rows(spark, d)), providers.stub_analysis)
+    return pipelines.search(asked, *_catalogues(spark, d), providers.stub_analysis)
 
 
 @query
 def pipeline_analyze(spark, d):
     """Every part name that the stated query set asks for, as an image of its words."""
     asked = name_queries(spark, d).select(F.col("qid").cast("string").alias("image_id"), F.encode("query", "UTF-8").alias("content"))
-    parts = lk.branded(branded_rows(spark, d)), lk.generics(generic_rows(spark, d)), lk.master(master_rows(spark, d))
-    return pipelines.analyze(asked, providers.stub_words, *parts, providers.stub_analysis, providers.stub_analysis)
+    return pipelines.analyze(asked, providers.stub_words, *_catalogues(spark, d), providers.stub_analysis, providers.stub_analysis)
 
 
 @query

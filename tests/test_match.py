@@ -4,7 +4,8 @@ import pytest
 
 from quillmatch.functions import text as tx
 from quillmatch.operators import lookup as lk
-from quillmatch.operators.match import MatchIndex, fit, top_k
+from quillmatch.operators import block_search
+from quillmatch.operators.match import MatchIndex, fit, fit_stored, top_k
 from pyspark.sql import functions as F
 
 BRANDED = [
@@ -83,7 +84,7 @@ def test_properties(spark, tmp_path):
         same = [i for i, x in rows if x == t]
         assert [d for _, d, _ in own][: len(same)] == same[:4] and own[0][2] == 1.0 and len(own) <= 4
     index.save(str(tmp_path))
-    again = top_k(MatchIndex.load(spark, str(tmp_path), 4), asked, 4).collect()
+    again = top_k(MatchIndex.load(spark, str(tmp_path)), asked, 4).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     noisy = top_k(index, asked.withColumn("query", F.concat("query", F.lit(" qqqq wwww"))), 1).collect()
     plain = {r["qid"]: r["match_score"] for r in got if r["rank"] == 1}
@@ -98,6 +99,50 @@ def test_plan_broadcasts_only_the_vocabulary(spark, parts):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan  # the row count is the one cross join
 
 
+def test_stacked_catalogues_answer_as_each_alone(spark, parts):
+    b, g, m = (spark.createDataFrame(rows) for rows in (BRANDED, GENERICS, MASTER))
+    b = b.toDF("doc_id", "name", "price(₹)", "Is_discontinued", "manufacturer_name", "type", "pack_size_label", "short_composition1", "short_composition2")
+    g = g.toDF("doc_id", "Generic Name", "Unit Size", "MRP", "Group Name")
+    m = m.toDF("doc_id", "brand_raw", "brand_clean", "canonical_inn", "product_price", "nppa_price", "price_flag", "ratio_market_to_nppa")
+    asked = spark.createDataFrame([(1, "Betamox"), (2, "zzz"), (3, "alphacet 650"), (4, None)], "qid long, query string")
+    alone = {r["qid"]: r for r in lk.lookup(asked, *parts).collect()}
+    for stored in (False, True):
+        together = lk.catalogues(stored=stored, branded=b, generics=g, master=m)
+        assert {r["qid"]: r for r in lk.lookup(asked, *together).collect()} == alone
+
+
+def test_a_saved_index_is_read_without_an_exchange(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, f"name {i % 7} of {'xyz'[i % 3]}") for i in range(60)], "id long, t string")
+    made = fit_stored({"": (corpus, "id", "t")}, str(tmp_path / "index"), keep=4, buckets=4)
+    asked = spark.createDataFrame([(1, "name 3 of y"), (2, "nam")], "qid long, query string")
+    assert sorted(map(str, top_k(made, asked, 4).collect())) == sorted(map(str, top_k(fit(corpus, "id", "t", 4), asked, 4).collect()))
+    unit = spark.createDataFrame([("", "na", 1.0)], "cat string, gram string, wq double").hint("merge")
+    plan = unit.join(made.postings, ["cat", "gram"])._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1  # the queries' own
+    again = MatchIndex.load(spark, str(tmp_path / "index"))
+    assert again.keep == 4 and again.postings.count() == made.postings.count()
+
+
+def test_documents_in_blocks_as_by_postings(spark, monkeypatch, tmp_path):
+    words = ["alpha", "beta", "a", "gamma9", "de"]
+    texts = [(i, " ".join(words[(i * k) % 5] for k in range(1, i % 9 + 1))) for i in range(80)] + [(100, None), (101, "..."), (102, "Été alpha"), (103, "beta " * 3000)]
+    corpus = spark.createDataFrame(texts, "id long, t string")
+    asked = spark.createDataFrame([(i, t) for i, t in texts[:30]] + [(200, "alpha zzqq"), (201, ""), (202, None)], "qid long, query string")
+    want = sorted(map(str, top_k(fit(corpus, "id", "t", 5), asked, 5).collect()))
+    index = block_search.fit(corpus, "id", "t", path=str(tmp_path / "docs"))
+    assert sorted(map(str, block_search.top_k(index, asked, 5).collect())) == want
+    monkeypatch.setattr(block_search, "PART", 100)  # several passes,
+    monkeypatch.setattr(block_search, "CELLS", 200)  # each of several blocks
+    assert sorted(map(str, block_search.top_k(block_search.DocumentIndex.load(spark, str(tmp_path / "docs")), asked, 5).collect())) == want
+
+
+def test_counts_of_very_long_texts_in_steps(monkeypatch):
+    texts = ["ab cd a", "", "xyz " * 50, "b"]
+    whole = [x.tolist() for x in block_search.counted(texts)]
+    monkeypatch.setattr(block_search, "BATCH_CHARS", 7)
+    assert [x.tolist() for x in block_search.counted(texts)] == whole
+
+
 def test_text_functions(spark):
     one = lambda c, v, kind="string": spark.createDataFrame([(v,)], f"v {kind}").select(c(F.col("v")).alias("x")).first()["x"]
     for raw, clean in [("Paracetamol Tablets IP 500 mg", "ParacetamolTabletsIP500mg"), ("a b c", "a"), ("x | y", ""), ("Dolo-650 { tab }", "Dolo650 tab"), ("foo, bar", "foo, bar"), (None, "")]:
