@@ -11,7 +11,7 @@ GRAM_SIZES = (2, 3, 4)
 
 def normalise(c: Column) -> Column:
     """Lower case; anything but a-z, 0-9 and white space becomes a space; runs of space are one; trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))  # white space is among what becomes one space
 
 
 def grams(normalised: Column) -> Column:
@@ -24,7 +24,7 @@ def grams(normalised: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def squeeze(c: Column) -> Column:

@@ -54,7 +54,7 @@ class MatchIndex:
         dealt.write.mode("overwrite").bucketBy(buckets, "cat", "gram").sortBy("cat", "gram").option("path", f"{path}/postings").saveAsTable(name)
         self.idf.write.mode("overwrite").parquet(f"{path}/idf")
         self.texts.write.mode("overwrite").parquet(f"{path}/texts")
-        spark.createDataFrame([(buckets, self.keep)], "buckets int, keep int").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(self.keep).alias("keep")).write.mode("overwrite").json(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "MatchIndex":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.functions.text import clean_ocr, strip
@@ -25,8 +25,11 @@ def usable(words: DataFrame) -> DataFrame:
 
 
 def texts(words: DataFrame) -> DataFrame:
-    """``image_id, variant, angle, raw, conf``: words in order joined by spaces, and their mean confidence."""
-    rows = usable(words).groupBy("image_id", "variant", "angle")
+    """``image_id, variant, angle, raw, conf``: words in order joined by spaces, and their mean confidence.
+
+    Words are brought together by image, so what follows for an image needs no exchange of its texts.
+    """
+    rows = usable(words).repartition("image_id").groupBy("image_id", "variant", "angle")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", strip(F.col("text")).alias("t")))), lambda x: x["t"]), " ")
     return rows.agg(joined.alias("raw"), F.avg("conf").alias("conf"))
 
@@ -35,15 +38,16 @@ def best_text(images: DataFrame, words: DataFrame) -> DataFrame:
     """``image_id, ocr_text, ocr_confidence``: the most confident cleaned text of over five characters.
 
     Confidence is of the raw words; of equal ones the first variant and angle wins; images without a
-    candidate get '' and 0.
+    candidate get '' and 0. Candidates are put in order first and cleaned one by one until one passes.
     """
-    found = texts(words).withColumn("ocr_text", clean_ocr(F.col("raw")))
-    found = found.filter((F.col("conf") > 0) & (F.length("ocr_text") > 5))
     place = F.array_position(F.array(*map(F.lit, ANGLES)), F.col("angle"))
-    first = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("conf"), "variant", place))
-    best = found.withColumn("nth", first).filter("nth = 1").select("image_id", "ocr_text", F.col("conf").alias("ocr_confidence"))
+    found = texts(words).filter(F.col("conf") > 0)
+    tries = found.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("order"), "variant", place.alias("place"), "raw", "conf"))).alias("tries"))
+    cleaned = lambda t: F.struct(clean_ocr(t["raw"]).alias("ocr_text"), t["conf"].alias("ocr_confidence"))
+    nth = lambda i: F.get(F.filter(F.transform(F.slice("tries", i + 1, 1), cleaned), lambda t: F.length(t["ocr_text"]) > 5), 0)
+    best = tries.select("image_id", F.coalesce(*map(nth, range(len(VARIANTS) * len(ANGLES)))).alias("best"))  # the rest is not looked at
     out = images.select("image_id").join(best, "image_id", "left")
-    return out.select("image_id", F.coalesce("ocr_text", F.lit("")).alias("ocr_text"), F.coalesce("ocr_confidence", F.lit(0.0)).alias("ocr_confidence"))
+    return out.select("image_id", F.coalesce("best.ocr_text", F.lit("")).alias("ocr_text"), F.coalesce("best.ocr_confidence", F.lit(0.0)).alias("ocr_confidence"))
 
 
 def route(confidence: Column, text: Column) -> Column:

@@ -108,7 +108,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT lower(c_name), min(o_orderkey) + 1000000 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY lower(c_name) HAVING lower(c_name) NOT IN (SELECT lower(c_name) FROM customer WHERE c_mktsegment <> 'BUILDING')""",
     "delete_scans": "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderpriority <> '1-URGENT'",
     "delete_messages": "SELECT CAST(conv_id AS VARCHAR) AS scan_id, turn FROM conversations WHERE conv_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
-    "orphan_messages": "SELECT CAST(conv_id AS VARCHAR) AS scan_id, turn FROM conversations WHERE conv_id NOT IN (SELECT o_orderkey FROM orders)",
+    "orphan_messages": "SELECT CAST(conv_id AS VARCHAR) AS scan_id, turn FROM conversations WHERE conv_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT')",
+    "uploads": "SELECT count(*) AS n, count(*) AS n_names, count(*) AS n_ids, count(*) AS n_uuids, count(*) AS n_kept FROM pages WHERE page_id % 2 = 0 AND length(html) BETWEEN 1 AND 10485760",
     "repeated_keys": "SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1 OR p_name IS NULL",
     "bad_roles": "SELECT role, count(*) AS n FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant') GROUP BY role",
     "append_searches": """SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS user_id, '' AS image_path, CASE WHEN p_size > 25 THEN '{"brand_name":"' || p_brand || '"}' ELSE '{"success":false}' END AS result_json,
@@ -116,7 +117,7 @@ ORACLE: dict[str, str] = {
     "append_images": """SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS user_id, p_name AS image_path, '{"p_size":' || p_size || '}' AS result_json, '' AS ocr_text, CAST(0 AS DOUBLE) AS ocr_confidence, 'ocr' AS method FROM part""",
     "append_messages": """SELECT CAST(conv_id AS VARCHAR) AS scan_id, 'user' AS role, text AS content FROM conversations UNION ALL SELECT CAST(conv_id AS VARCHAR), 'assistant', 'assistant' FROM conversations WHERE role = 'assistant'""",
     "append_metrics": f"WITH {METRICS} SELECT endpoint, ms AS response_time_ms, CAST(200 AS BIGINT) AS status_code FROM r",
-    "latency": f"WITH {METRICS} SELECT endpoint, count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95, max(ms) AS worst FROM r GROUP BY endpoint",
+    "latency": f"WITH {METRICS} SELECT endpoint, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS worst FROM r GROUP BY endpoint",
     "required_fields": r"SELECT doc_id, regexp_matches(coalesce(text, ''), '\S') AS ok FROM documents",
     "scan_by_id": f"WITH {SCANS} SELECT id, user_id, image_path, json_extract_string(result_json, '$.data.brand_name') AS brand_name, o_orderstatus AS ocr_text, confidence AS ocr_confidence, 'ocr' AS method FROM s JOIN orders ON o_orderkey = 7 WHERE id = '7'",
     "stored_results_that_open": f"WITH {SCANS} SELECT id, coalesce(json_valid(result_json), true) AS opens FROM s",

@@ -150,11 +150,9 @@ def _looked_up(spark, d):
 @query
 def lookup(spark, d):
     """The composite lookup as rows: which part, at what place, what and how close."""
-    found = _looked_up(spark, d)
-    part = lambda c, label: found.select("qid", F.lit(label).alias("part"), F.posexplode(c).alias("at", "m"))
-    flat = lambda df, name: df.select("qid", "part", (F.col("at") + 1).cast("bigint").alias("rank"), F.col(f"m.{name}").alias("name"), F.col("m.match_score").alias("match_score"))
-    rows = flat(part("branded_matches", "branded"), "name")
-    return rows.unionByName(flat(part("generic_alternatives", "generic"), "generic_name")).unionByName(flat(part("master_matches", "master"), "brand_name"))
+    item = lambda label, name: lambda m, at: F.struct(F.lit(label).alias("part"), (at + 1).cast("bigint").alias("rank"), m[name].alias("name"), m["match_score"].alias("match_score"))
+    parts = [("branded_matches", "branded", "name"), ("generic_alternatives", "generic", "generic_name"), ("master_matches", "master", "brand_name")]
+    return _looked_up(spark, d).select("qid", F.inline(F.concat(*[F.transform(c, item(label, name)) for c, label, name in parts])))
 
 
 @query
@@ -256,7 +254,9 @@ def delete_messages(spark, d):
 
 @query
 def orphan_messages(spark, d):
-    return store.orphans(messages(spark, d), "scan_id", scans(spark, d), "id").select("scan_id", F.col("id").alias("turn"))
+    """Messages whose scan is not there: scans are the orders that are not urgent."""
+    left = scans(spark, d).join(table(spark, d, "orders").filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("id")), "id", "left_semi")
+    return store.orphans(messages(spark, d), "scan_id", left, "id").select("scan_id", F.col("id").alias("turn"))
 
 
 @query
@@ -407,6 +407,14 @@ def acceptable_uploads(spark, d):
     return catalogues.acceptable(files)
 
 
+@query
+def uploads(spark, d):
+    """The new names of accepted files: one each, none twice, with the extension kept."""
+    files = table(spark, d, "pages").select(F.concat("url", F.when(F.col("page_id") % 2 == 0, ".PNG").otherwise(".txt")).alias("path"), F.length("html").cast("bigint").alias("length"))
+    named = store.uploads(files)
+    return named.agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"), F.count_distinct("upload_id").alias("n_ids"), F.count_if(F.length("upload_id") == 36).alias("n_uuids"), F.count_if(F.endswith("name", F.lit(".PNG"))).alias("n_kept"))
+
+
 # Translation and display.
 
 
