@@ -171,11 +171,16 @@ def chat_prompt(system: Column, history: Column, message: Column, last: int = 10
 # Changes.
 
 
-def insert_absent(table: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """``table`` with the rows of ``new`` whose key it lacks; of equal new keys the first by ``order``."""
+def absent(table: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of ``new`` whose key is not null and not in ``table``; of equal keys the first by ``order``."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
     once = new.filter(F.col(key).isNotNull()).withColumn("nth", nth).filter("nth = 1").drop("nth")
-    return table.unionByName(once.join(table.select(key), key, "left_anti").select(table.columns))
+    return once.join(table.select(key), key, "left_anti")
+
+
+def insert_absent(table: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """``table`` with the rows of ``new`` whose key it lacks; of equal new keys the first by ``order``."""
+    return table.unionByName(absent(table, new, key, order).select(table.columns))
 
 
 def cascade_delete(scans: DataFrame, messages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

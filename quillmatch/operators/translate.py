@@ -28,9 +28,10 @@ def model_for(language: Column) -> Column:
     return pick(language, MODELS, ANY_MODEL)
 
 
-def prompt(text: Column, language: Column) -> Column:
-    """What a text model is asked where the translation models gave nothing."""
-    return F.concat(F.lit("Translate this medical text into the language "), language, F.lit(". Keep its meaning, explain it simply and give the translation alone:\n\n"), text)
+def prompt(text: Column, language: Column, instruction: str = "Target language: {}. Answer with the translated text.") -> Column:
+    """What a text model is asked where the translation models gave nothing: the instruction with the language in its braces, then the text."""
+    before, after = instruction.split("{}")
+    return F.concat(F.lit(before), language, F.lit(f"{after}\n"), text)
 
 
 def pieces(texts: DataFrame, width: int = 450) -> DataFrame:

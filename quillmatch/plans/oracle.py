@@ -40,10 +40,19 @@ PRICES = """mkt AS (SELECT l_partkey, avg(l_extendedprice / l_quantity) AS marke
     m AS (SELECT p_partkey, p_name, p_type, p_brand, coalesce(CAST(CAST(round_even(market, 0) AS BIGINT) AS VARCHAR), '') AS product_price, CAST(CAST(round_even(p_retailprice, 0) AS BIGINT) AS VARCHAR) AS nppa_price,
           CASE WHEN market IS NULL THEN 'missing' WHEN market / p_retailprice > 1 THEN 'overpriced' ELSE 'ok' END AS price_flag FROM part LEFT JOIN mkt ON p_partkey = l_partkey)"""
 PRICE = "CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR)"
-LOOKUP = f"""{named(knn(BRANDED, ASKED, 3), "1")}, {named(knn(MASTER, ASKED, 3), "2")},
+
+def looked_up(asked: str) -> str:
+    """WITH-items of the lookup for ``asked(id, t)``: ``knn1`` branded, ``knn2`` master, ``knn3`` generics."""
+    return f"""{named(knn(BRANDED, asked, 3), "1")}, {named(knn(MASTER, asked, 3), "2")},
     dep AS (SELECT a.id, CASE WHEN p.p_partkey IS NOT NULL AND p.p_type <> '' THEN trim(p.p_type || ' ' || p.p_brand) ELSE a.t END AS t
-            FROM ({ASKED}) a LEFT JOIN knn1 k ON k.qid = a.id AND k.r = 1 LEFT JOIN part p ON p.p_partkey = k.cid),
+            FROM ({asked}) a LEFT JOIN knn1 k ON k.qid = a.id AND k.r = 1 LEFT JOIN part p ON p.p_partkey = k.cid),
     {named(knn(GENERIC, "SELECT id, t FROM dep", 5), "3")}"""
+
+
+LOOKUP = looked_up(ASKED)
+#: What an answer takes from the lookup: prices of the first master match, and the generics in order.
+ENRICHED = f"""alt AS (SELECT qid, string_agg(p_type || ' ' || p_brand || ': ₹' || {PRICE} || ' for ' || p_size || '''s', '; ' ORDER BY r) AS alternatives FROM knn3 JOIN part ON cid = p_partkey GROUP BY qid),
+    top AS (SELECT qid, product_price, nppa_price, price_flag FROM knn2 JOIN m ON cid = p_partkey WHERE r = 1)"""
 SCANS = """s AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS user_id, o_orderkey || '.png' AS image_path,
     CASE o_orderkey % 6 WHEN 0 THEN '{"brand_name":"' || o_orderpriority || '","generic_name":"' || o_orderstatus || '"}'
       WHEN 1 THEN '{"success":true,"data":{"brand_name":"' || o_orderpriority || '","generic_name":"' || o_orderstatus || '"},"error":null}'
@@ -126,7 +135,7 @@ ORACLE: dict[str, str] = {
     "chat_replies": """SELECT conv_id, turn, CASE WHEN role = 'assistant' AND text <> '' THEN text WHEN turn % 2 = 0 THEN role END AS reply,
         coalesce(CASE WHEN turn % 2 = 0 THEN nullif(role, '') END, CASE WHEN role = 'assistant' THEN nullif(text, '') END, 'no reply') AS shown FROM conversations""",
     "bearer_tokens": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '-') WHEN p_size % 3 = 0 THEN '' WHEN starts_with(p_name, 'Bearer ') THEN split_part(p_name, ' ', 2) END AS token FROM part""",
-    "translation_prompts": f"""WITH {TEXTS} SELECT text_id, 'Translate this medical text into the language ' || language || '. Keep its meaning, explain it simply and give the translation alone:' || chr(10) || chr(10) || text AS prompt
+    "translation_prompts": f"""WITH {TEXTS} SELECT text_id, 'Target language: ' || language || '. Answer with the translated text.' || chr(10) || text AS prompt
         FROM t WHERE language <> 'en-US'""",
     "extracted_json": f"""WITH {REPLIES} SELECT event_id, CASE WHEN kind < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN kind = 4 THEN 'busy' END AS error,
         kind < 3 AND coalesce(json_exists(props, '$.k'), false) AS has_k FROM e""",
@@ -151,5 +160,35 @@ ORACLE: dict[str, str] = {
         CASE WHEN p_size > 1 THEN ((p_size - 1) * 2) || '%' END AS confidence_label FROM part""",
     "result_sections": """SELECT p_partkey, 'uses' AS section, CAST(0 AS BIGINT) AS item_no, p_brand AS item FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 'uses', 1, p_type FROM part WHERE p_size > 25
         UNION ALL SELECT p_partkey, 'warnings', 0, p_name FROM part""",
+    "knn_stored": f"""WITH {knn(BRANDED, ASKED, 5)} SELECT qid, r AS rank, p_name AS name, {PRICE} AS price, p_brand AS manufacturer, 'part' AS type, CAST(p_size AS VARCHAR) AS pack_size,
+        p_type AS composition1, p_brand AS composition2, 'FALSE' AS is_discontinued, sim AS match_score FROM knn JOIN part ON cid = p_partkey""",
+    "csv_catalogues": f"""SELECT 'branded' AS catalogue, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' "new",' || chr(10) || 'improved' ELSE p_name END AS a, CASE WHEN p_size > 10 THEN {PRICE} ELSE '' END AS b, p_type AS c, 'FALSE' AS d FROM part
+        UNION ALL SELECT 'generics', p_type || ' ' || p_brand, {PRICE}, CAST(p_size AS VARCHAR), p_type FROM part
+        UNION ALL SELECT 'master', CASE WHEN p_partkey % 3 = 0 THEN p_name || ' "new",' || chr(10) || 'improved' ELSE p_name END, p_name, {PRICE}, '' FROM part""",
+    "csv_search": f"WITH {knn(BRANDED, ASKED, 1)} SELECT qid, p_name AS canonical_name, sim AS match_score FROM knn JOIN part ON cid = p_partkey",
+    "csv_counts": "SELECT c AS catalogue, CASE WHEN c = 'absent' THEN 0 ELSE n END AS n FROM (SELECT count(*) AS n FROM part), (VALUES ('branded'), ('generics'), ('master'), ('absent')) v(c)",
+    "stored_scans": f"""WITH {SCANS} SELECT id, 'scan' AS kind, user_id FROM s JOIN orders ON CAST(o_orderkey AS VARCHAR) = id WHERE o_orderpriority <> '1-URGENT'
+        UNION ALL SELECT conv_id || '/' || turn, 'message', NULL FROM conversations WHERE conv_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+    "stored_users": """WITH u AS (SELECT CAST(c_custkey AS VARCHAR) AS id, lower(c_name) AS email, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING')
+        SELECT id, email, name FROM u UNION ALL SELECT CAST(min(o_orderkey) + 1000000 AS VARCHAR), lower(c_name), c_name FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE lower(c_name) NOT IN (SELECT email FROM u) GROUP BY c_name""",
+    "stored_metrics": f"""WITH {METRICS} SELECT endpoint, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS worst, count(*) AS n_ids, CAST(0 AS BIGINT) AS n_without_time FROM r GROUP BY endpoint""",
+    "replies_kept": """WITH a AS (SELECT doc_id, concat_ws('/', lang, source) AS s FROM documents) SELECT count(*) AS n, count_if(doc_id % 2 = 0) AS n_same, CAST(0 AS BIGINT) AS n_without,
+        count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN s END) AS n_first, count(DISTINCT s) AS n_both FROM a""",
+    "pipeline_search": f"""WITH q AS (SELECT id, trim(t) AS t FROM ({ASKED})), {looked_up("SELECT id, t FROM q")}, {PRICES}, {ENRICHED}
+        SELECT q.id AS qid, true AS success, CAST(NULL AS VARCHAR) AS error, t AS brand_name, lower(t) AS generic_name, t AS ocr_text, 'text_search' AS method, coalesce(product_price, '') AS price,
+        coalesce(nppa_price, '') AS nppa_ceiling_price, coalesce(price_flag, '') AS price_flag, CAST(0.5 AS DOUBLE) AS confidence, 'use of ' || t AS uses, coalesce(alternatives, '') AS alternatives
+        FROM q LEFT JOIN top ON top.qid = q.id LEFT JOIN alt ON alt.qid = q.id""",
+    "pipeline_analyze": f"""WITH c AS (SELECT id, {clean('t')} AS c FROM ({ASKED})), q AS (SELECT id, CASE WHEN length(c) > 5 THEN c ELSE '' END AS t, length(c) >= 10 AS by_text FROM c),
+        {looked_up("SELECT id, t FROM q WHERE by_text")}, {PRICES}, {ENRICHED}
+        SELECT CAST(q.id AS VARCHAR) AS image_id, true AS success, CAST(NULL AS VARCHAR) AS error, CASE WHEN by_text THEN t ELSE '' END AS brand_name, CASE WHEN by_text THEN lower(t) ELSE '' END AS generic_name, t AS ocr_text,
+        CASE WHEN by_text THEN 'ocr' ELSE 'vision_fallback' END AS method, coalesce(product_price, '') AS price, coalesce(nppa_price, '') AS nppa_ceiling_price, coalesce(price_flag, '') AS price_flag, CAST(0.5 AS DOUBLE) AS confidence,
+        'use of ' || CASE WHEN by_text THEN t ELSE '' END AS uses, coalesce(alternatives, '') AS alternatives FROM q LEFT JOIN top ON top.qid = q.id LEFT JOIN alt ON alt.qid = q.id""",
+    "pipeline_chat": f"""WITH {SCANS}, {MESSAGES}, h AS (SELECT scan_id, string_agg(role || ': ' || text, chr(10) ORDER BY pos) AS h FROM m WHERE pos <= 20 AND pos > least(n, 20) - 10 GROUP BY scan_id),
+        a AS (SELECT scan_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM m WHERE pos = n),
+        y AS (SELECT a.*, '```json' || chr(10) || '{{"brand_name": ' || CAST(to_json(t) AS VARCHAR) || ', "generic_name": ' || CAST(to_json(lower(t)) AS VARCHAR) || ', "uses": [' || CAST(to_json('use of ' || t) AS VARCHAR) || '], "confidence": 0.5}}' || chr(10) || '```' AS reply FROM a),
+        z AS (SELECT scan_id, string_agg('[hi-IN] ' || substr(reply, o + 1, 450), ' ' ORDER BY o) AS reply FROM (SELECT *, unnest(range(0, CAST(length(reply) AS BIGINT), 450)) AS o FROM y) GROUP BY scan_id)
+        SELECT CAST(s.id AS BIGINT) AS request_id, 'You answer questions about this product:' || chr(10) || coalesce(result_json, '{{}}') || chr(10) || coalesce(h || chr(10), '') || 'user: ' || a.text AS prompt, z.reply
+        FROM s JOIN a ON a.scan_id = s.id JOIN z ON z.scan_id = s.id LEFT JOIN h ON h.scan_id = s.id""",
     "catalogue_counts": "SELECT c AS catalogue, n FROM (SELECT count(*) AS n FROM part), (VALUES ('branded'), ('generics'), ('master')) v(c)",
 }

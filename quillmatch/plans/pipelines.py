@@ -12,7 +12,7 @@ from quillmatch.functions.text import or_default, strip
 from quillmatch.operators import lookup as lk
 from quillmatch.operators import ocr, translate
 from quillmatch.operators.store import chat_prompt
-from quillmatch.sources.providers import WORD_LIST, ask, error_json
+from quillmatch.sources.providers import WORD_LIST, ask, ask_once, error_json
 
 
 def analysis_prompt(text: Column, found: Column, language: Column) -> Column:
@@ -39,8 +39,11 @@ def _envelope(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.col("error").isNull().alias("success"), "data", "error")
 
 
-def search(requests: DataFrame, names: lk.Catalogue, subs: lk.Catalogue, prices: lk.Catalogue, model: Callable) -> DataFrame:
-    """``requests(qid, name, target_language)`` to ``qid, success, data, error``. A blank name is an error."""
+def search(requests: DataFrame, names: lk.Catalogue, subs: lk.Catalogue, prices: lk.Catalogue, model: Callable, replies: str | None = None) -> DataFrame:
+    """``requests(qid, name, target_language)`` to ``qid, success, data, error``. A blank name is an error.
+
+    With ``replies``, a shared folder, the model is asked once for equal prompts and what it said is kept there.
+    """
     asked = requests.select("qid", strip(F.coalesce("name", F.lit(""))).alias("query"), F.coalesce("target_language", F.lit("en-US")).alias("language"))
     blank = asked.filter("query = ''")
     asked = asked.filter("query <> ''")
@@ -48,7 +51,7 @@ def search(requests: DataFrame, names: lk.Catalogue, subs: lk.Catalogue, prices:
     rows = asked.join(found, "qid")
     context = F.struct("branded_matches", "generic_alternatives", "master_matches", "price_info")
     rows = rows.withColumn("subject", F.col("query")).withColumn("prompt", analysis_prompt(F.concat(F.lit("Product name: "), F.col("query")), context, F.col("language")))
-    rows = ask(rows, model, "reply", on_error=error_json)
+    rows = ask_once(rows, model, "reply", ["prompt", "subject"], replies, error_json) if replies else ask(rows, model, "reply", on_error=error_json)
     rows = _respond(rows, F.col("query"), F.col("query"), F.lit("text_search"))
     rows = rows.withColumn("data", _with_prices(F.col("price_info"), F.col("generic_alternatives")))
     out = _envelope(rows, "qid")
@@ -59,7 +62,7 @@ def search(requests: DataFrame, names: lk.Catalogue, subs: lk.Catalogue, prices:
 def read_images(images: DataFrame, reader: Callable, variants: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``image_id, ocr_text, ocr_confidence`` of ``images(image_id, content)`` by the best of twelve readings.
 
-    With ``variants`` (``pixels.image_variants``) the reader gets the pixels of each variant, turned, and
+    With ``variants`` (``pixels.image_variants``, which evens out contrast and noise first) the reader gets the pixels of each variant, turned, and
     images that don't decode have no reading; without, it gets the content and the variant and angle to apply.
     """
     tries = variants(images) if variants else ocr.candidates(images.sparkSession, images.select("image_id", "content"))

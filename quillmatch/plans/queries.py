@@ -11,9 +11,9 @@ from quillmatch.functions import text as tx
 from quillmatch.functions.jsonx import analysis, error_of, extract_json, has_key, opens, stored_field, stored_field_anywhere, valid_analysis
 from quillmatch.operators import block_search, display, ocr, store, translate
 from quillmatch.operators import lookup as lk
-from quillmatch.operators.match import fit, term_counts, top_k
+from quillmatch.operators.match import MatchIndex, fit, fit_stored, term_counts
 from quillmatch.plans import pipelines
-from quillmatch.sources import catalogues, providers
+from quillmatch.sources import catalogues, pixels, providers, scratch, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,20 +470,146 @@ def catalogue_counts(spark, d):
     return catalogues.row_counts({"branded": branded_rows(spark, d), "generics": generic_rows(spark, d), "master": master_rows(spark, d)})
 
 
-# Pipelines with stub models: rows only.
+# Tables on disk: written from the driver's tables, read back and changed in place.
+
+
+@query
+def knn_stored(spark, d):
+    """The branded search by an index that was saved and is loaded again."""
+    path = scratch.new_path(spark, "branded-index")
+    rows = branded_rows(spark, d)
+    fit_stored({"branded": (rows, "doc_id", "name")}, path)
+    return lk.Catalogue(lk.project(rows, lk.BRANDED), MatchIndex.load(spark, path), "branded").search(name_queries(spark, d), 5)
+
+
+def _csv_folder(spark, d):
+    """The three catalogues as CSV files: with quoted line feeds and doubled quotes in names, blank cells, and two headers missing."""
+    root = scratch.new_path(spark, "catalogues")
+    write = lambda df, name: df.write.options(header=True, escape='"', emptyValue="").csv(f"{root}/{catalogues.FILES[name][0]}")
+    part = table(spark, d, "part")
+    odd = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(' "new",\nimproved'))).otherwise(F.col("p_name"))
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    write(part.select(odd.alias("name"), F.when(F.col("p_size") > 10, price).alias("price"), F.col("p_brand").alias("manufacturer_name"), F.col("p_type").alias("short_composition1"), F.lit("").alias("short_composition2")), "branded")
+    write(part.select(F.concat_ws(" ", "p_type", "p_brand").alias("Generic Name"), price.alias("MRP"), F.col("p_size").alias("Unit Size"), F.col("p_type").alias("Group Name")), "generics")
+    write(part.select(odd.alias("brand_raw"), F.col("p_name").alias("canonical_inn"), price.alias("nppa_price")), "master")
+    return root
+
+
+@query
+def csv_catalogues(spark, d):
+    """Every cell of the three files as it comes back, with what stands in for missing headers."""
+    loaded = catalogues.load(spark, _csv_folder(spark, d))
+    flat = lambda name, *columns: lk.project(loaded[name], lk.KINDS[name][0]).select(F.lit(name).alias("catalogue"), *[F.col(c).alias(o) for c, o in zip(columns, "abcd")])
+    rows = flat("branded", "name", "price", "composition1", "is_discontinued").unionByName(flat("generics", "generic_name", "mrp", "unit_size", "category"))
+    return rows.unionByName(flat("master", "brand_name", "canonical_name", "nppa_price", "product_price"))
+
+
+@query
+def csv_search(spark, d):
+    """Searches in a loaded file: rows are numbered anew, so matches are told by their names; its text is the canonical name, as one header is missing."""
+    loaded = catalogues.load(spark, _csv_folder(spark, d))
+    return lk.master(loaded["master"]).search(name_queries(spark, d), 1).select("qid", "canonical_name", "match_score")
+
+
+@query
+def csv_counts(spark, d):
+    """Rows of each file; a file that is not there is an empty catalogue."""
+    root = _csv_folder(spark, d)
+    return catalogues.row_counts(catalogues.load(spark, root) | {"absent": catalogues.load(spark, f"{root}/nowhere")["branded"]})
+
+
+def _stored_tables(spark, d):
+    """Operational tables of the orders and conversations: created, appended to, created again."""
+    root = scratch.new_path(spark, "operational")
+    tables.create(spark, root)
+    tables.append(scans(spark, d), root, "scans")
+    tables.append(messages(spark, d), root, "chat_messages")
+    customers = table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'")
+    tables.append(customers.select(F.col("c_custkey").cast("string").alias("id"), F.lower("c_name").alias("email"), F.col("c_name").alias("name")), root, "users")
+    tables.create(spark, root)
+    return root
+
+
+@query
+def stored_scans(spark, d):
+    """Scans of a table on disk, and their messages, after deleting some scans."""
+    root = _stored_tables(spark, d)
+    tables.delete_scans(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("id")), root)
+    left = tables.read(spark, root, "scans").select("id", F.lit("scan").alias("kind"), "user_id")
+    return left.unionByName(tables.read(spark, root, "chat_messages").select(F.concat_ws("/", "scan_id", "id").alias("id"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("user_id")))
+
+
+@query
+def stored_users(spark, d):
+    """Users of a table on disk after logins of known and new ones; the second round of the same logins adds none."""
+    root = _stored_tables(spark, d)
+    logins = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    logins = logins.select((F.col("o_orderkey") + 1000000).alias("n"), F.lower("c_name").alias("email"), F.col("c_name").alias("name"))
+    for _ in range(2):
+        tables.insert_absent(logins.withColumn("id", F.col("n").cast("string")), root, "users", "n")
+    return tables.read(spark, root, "users").select("id", "email", "name")
+
+
+@query
+def stored_metrics(spark, d):
+    """Times of requests appended to a table on disk in two parts, as that table's report."""
+    root = scratch.new_path(spark, "operational")
+    tables.create(spark, root)
+    rows = store.metric_rows(_requests(spark, d))
+    for own in (F.col("endpoint") == "click", F.col("endpoint") != "click"):
+        tables.append(rows.filter(own), root, "system_metrics")
+    kept = tables.read(spark, root, "system_metrics")
+    numbered = kept.groupBy("endpoint").agg(F.count_distinct("id").alias("n_ids"), F.count_if(F.col("created_at").isNull()).alias("n_without_time"))
+    return store.latency(kept).join(numbered, "endpoint")
+
+
+@query
+def image_variants(spark, d):
+    """Sizes and check sums of the twelve variants of small images on disk, one for each row of ``part``."""
+    root, (w, h) = scratch.new_path(spark, "images"), (24, 16)
+    level = lambda i: F.chr(F.ascii(F.substring("mark", F.pmod(i, F.lit(64)) + 1, F.lit(1))) + 20)  # noqa: E731  all grey levels are printable characters
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), level), "")
+    rows = table(spark, d, "part").withColumn("mark", F.sha2(F.concat_ws("/", "p_partkey", "p_name"), 256))
+    rows.select("p_partkey", F.concat(F.lit(f"P5\n{w} {h}\n255\n"), body).alias("value")).repartition(8, "p_partkey").write.partitionBy("p_partkey").text(root)
+    files = spark.read.format("binaryFile").load(root).select(F.col("p_partkey").cast("string").alias("image_id"), "content")
+    return pixels.image_variants(files).select("image_id", "variant", "angle", "width", "height", F.crc32("pixels").alias("crc"))
+
+
+@query
+def replies_kept(spark, d):
+    """Prompts about the documents' languages and sources, asked twice: how many replies are kept after a half and after all."""
+    path = scratch.new_path(spark, "replies")
+    asked = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("subject"))
+    size = lambda: providers.kept_replies(spark, path).count()
+    first = providers.ask_once(asked.filter("doc_id % 2 = 0"), providers.stub_analysis, "reply", ["subject"], path)
+    kept = size()
+    both = providers.ask_once(asked, providers.stub_analysis, "reply", ["subject"], path)
+    same = both.join(first.select("doc_id", F.col("reply").alias("before")), "doc_id", "left")
+    same = same.agg(F.count("*").alias("n"), F.count_if(F.col("before") == F.col("reply")).alias("n_same"), F.count_if(F.col("reply").isNull()).alias("n_without"))
+    return same.withColumn("n_first", F.lit(kept).cast("bigint")).withColumn("n_both", F.lit(size()).cast("bigint"))
+
+
+# Pipelines with stub models.
+
+
+def _flat_analysis(rows: DataFrame, key: str) -> DataFrame:
+    """The fields of an answer that the stubs fill, as columns."""
+    names = F.array_join(F.transform("data.cheaper_alternatives", lambda a: F.concat_ws(": ", a["name"], a["price"])), "; ")
+    texts = [F.col(f"data.{c}").alias(c) for c in ("brand_name", "generic_name", "ocr_text", "method", "price", "nppa_ceiling_price", "price_flag", "confidence")]
+    return rows.select(key, "success", "error", *texts, F.array_join("data.uses", "; ").alias("uses"), names.alias("alternatives"))
 
 
 @query
 def pipeline_search(spark, d):
     asked = name_queries(spark, d).select("qid", F.col("query").alias("name"), F.lit("en-US").alias("target_language"))
-    return pipelines.search(asked, *_catalogues(spark, d), providers.stub_analysis)
+    return _flat_analysis(pipelines.search(asked, *_catalogues(spark, d), providers.stub_analysis), "qid")
 
 
 @query
 def pipeline_analyze(spark, d):
     """Every part name that the stated query set asks for, as an image of its words."""
     asked = name_queries(spark, d).select(F.col("qid").cast("string").alias("image_id"), F.encode("query", "UTF-8").alias("content"))
-    return pipelines.analyze(asked, providers.stub_words, *_catalogues(spark, d), providers.stub_analysis, providers.stub_analysis)
+    return _flat_analysis(pipelines.analyze(asked, providers.stub_words, *_catalogues(spark, d), providers.stub_analysis, providers.stub_analysis), "image_id")
 
 
 @query
@@ -492,4 +618,4 @@ def pipeline_chat(spark, d):
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     asked = table(spark, d, "conversations").withColumn("nth", F.row_number().over(last)).filter("nth = 1")
     asked = asked.select(F.col("conv_id").alias("request_id"), F.col("conv_id").cast("string").alias("scan_id"), F.col("text").alias("message"), F.lit("hi-IN").alias("target_language"))
-    return pipelines.chat(asked, contexts, providers.stub_analysis, providers.stub_translation)
+    return pipelines.chat(asked, contexts, providers.stub_analysis, providers.stub_translation).withColumn("prompt", F.array_join("prompt", "\n"))

@@ -1,7 +1,7 @@
 """Image variants for OCR, in numpy on the executors: grey, evened out, thresholded, inverted, thickened, turned.
 
 Only formats that need no codec are decoded here (binary PGM and PPM); another decoder can be passed
-in, as can the step that evens out contrast and noise before the thresholds (``evened``).
+in, as can another step that evens out contrast and noise before the thresholds.
 """
 
 from __future__ import annotations
@@ -149,14 +149,14 @@ def thicken(g: np.ndarray) -> np.ndarray:
     return np.maximum.reduce([p[1:, 1:], p[:-1, 1:], p[1:, :-1], p[:-1, :-1]])
 
 
-def variants(image: np.ndarray, even: Callable[[np.ndarray], np.ndarray] = lambda g: g) -> list[np.ndarray]:
-    """The four variants in their order."""
+def variants(image: np.ndarray, even: Callable[[np.ndarray], np.ndarray] = evened) -> list[np.ndarray]:
+    """The four variants in their order, of the image with contrast and noise evened out."""
     g = even(grey(shrink(image)))
     two = global_threshold(g)
     return [local_threshold(g), two, 255 - two, thicken(two)]
 
 
-def image_variants(images: DataFrame, decode: Callable[[bytes], np.ndarray | None] = decode_pnm, even: Callable[[np.ndarray], np.ndarray] = lambda g: g) -> DataFrame:
+def image_variants(images: DataFrame, decode: Callable[[bytes], np.ndarray | None] = decode_pnm, even: Callable[[np.ndarray], np.ndarray] = evened) -> DataFrame:
     """``image_id, variant, angle, width, height, pixels`` of ``images(image_id, content)``: twelve rows for each that decodes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmatch.sources.scratch import make_folder, stored
 
 Answer = Callable[[pd.DataFrame], list]
 
@@ -33,6 +36,37 @@ def ask(requests: DataFrame, provider: Callable[[], Answer], reply: str, kind: s
     return requests.mapInPandas(run, schema)
 
 
+def ask_once(requests: DataFrame, provider: Callable[[], Answer], reply: str, of: list[str], store: str, on_error: Callable[[Exception], str] | None = None) -> DataFrame:
+    """``requests`` with a ``reply`` column, where requests that agree in the columns ``of`` are asked once, ever.
+
+    Replies are kept under ``store``, a shared folder, by a hash of those columns. A batch that fails is not kept:
+    it gets ``on_error``, or fails the call without one, after the others' replies are kept; so a repeated
+    call asks for what is missing only.
+    """
+    spark = requests.sparkSession
+    named = requests.withColumn("asked", F.sha2(F.to_json(F.struct(*of), {"ignoreNullFields": "false"}), 256))
+    missing = named.select("asked", *of).dropDuplicates(["asked"]).join(kept_replies(spark, store), "asked", "left_anti")
+
+    def told() -> Answer:
+        answer = provider()
+        return lambda frame: [{"reply": r, "failed": False} for r in answer(frame)]
+
+    tried = ask(missing, told, "tried", "struct<reply:string,failed:boolean>", lambda e: {"reply": on_error(e) if on_error else str(e), "failed": True})
+    tried = stored(tried.select("asked", "tried.*"), "replies")
+    tried.filter("not failed").select("asked", "reply").write.mode("append").parquet(store)
+    failed = tried.filter("failed").select("asked", "reply")
+    if on_error is None and (first := failed.first()):
+        raise RuntimeError(f"a provider failed: {first['reply']}")
+    replies = kept_replies(spark, store).unionByName(failed).withColumnRenamed("reply", reply)
+    return named.join(replies, "asked", "left").drop("asked")
+
+
+def kept_replies(spark: SparkSession, store: str) -> DataFrame:
+    """``asked, reply`` that are kept under a folder; none where it is not there yet. A reply that two runs kept counts once."""
+    make_folder(spark, store)
+    return spark.read.schema("asked string, reply string").parquet(store).groupBy("asked").agg(F.min("reply").alias("reply"))
+
+
 def error_json(e: Exception) -> str:
     return json.dumps({"error": str(e)})
 

@@ -40,9 +40,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _placed(spark: SparkSession, path: str) -> tuple:
+    """A path of whatever store, with the file system that has it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, store = _placed(spark, path)
+    store.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Makes a folder if it is not there."""
+    place, store = _placed(spark, path)
+    store.mkdirs(place)
 
 
 @atexit.register

@@ -7,7 +7,7 @@ def test_variants(spark):
     g = np.full((20, 30), 200, np.uint8)
     g[5:9, 5:25] = 30
     data = b"P5\n# made\n30 20\n255\n" + g.tobytes()
-    got = pixels.image_variants(spark.createDataFrame([("a", data), ("b", b"junk"), ("c", None)], "image_id string, content binary")).collect()
+    got = pixels.image_variants(spark.createDataFrame([("a", data), ("b", b"junk"), ("c", None)], "image_id string, content binary"), even=lambda g: g).collect()
     assert len(got) == 12 and {r["image_id"] for r in got} == {"a"}
     by = {(r["variant"], r["angle"]): r for r in got}
     shape = lambda k: np.frombuffer(by[k]["pixels"], np.uint8).reshape(by[k]["height"], by[k]["width"])
