@@ -4,9 +4,11 @@ A page is cut into text blocks, each with its root-to-leaf tag path. Per path th
 punctuation of all its blocks are aggregated to ratios, the ratios are smoothed along the page (and
 inside a named article down the path, so that its tables and lists follow what is around them) and
 fused into a score, and the paths whose score passes a threshold from the page's own scores are
-content. Names and elements decide nothing alone: what they call another part of the page (menus,
-asides, forms, comments ...) or what lies outside the article scores a hundredth of what it would, so
-that a page all of which lies in a form, or in an element named after its sidebar, keeps its text.
+content. Names and elements lower scores. What they call a menu, a list of links or a bar scores half:
+ratios tell those, and text there that reads like the article's stays. What they call a place of other
+prose (comments, asides, notices, adverts, footers ...), and what lies outside the article, scores a
+hundredth, as ratios cannot tell prose from prose. A page all of which lies in a form, or in an element
+named after its sidebar, keeps its text.
 """
 
 from __future__ import annotations
@@ -57,6 +59,10 @@ NAMED = frozenset(
     "notice notices alert alerts cookie cookies consent gdpr privacy popup modal overlay newsletter subscribe subscription signup login signin paywall "
     "comment comments commentlist respond replies reply disqus discussion feedback share sharing social related recommended recommendations outbrain taboola toolbar search hidden".split()
 )
+#: Of these, elements, roles and names of link lists and bars.
+LINKS = frozenset(
+    "nav menu navigation menubar toolbar navbar menus submenu topbar breadcrumb breadcrumbs pagination pager share sharing social search".split()
+)
 COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion feedback".split())
 #: Words that name the article itself; where one stands on an element in a name of its own, the list above does not count there.
 MAIN = frozenset("article articlebody articletext content maincontent main post postbody story storybody entry entrycontent body bodytext text".split())
@@ -76,7 +82,8 @@ ABOUT = re.compile(
 )
 
 
-OTHER = 0.01  #: Factor on the score for each element around a block that is another part of the page, and for a block outside the article.
+OTHER = 0.01  #: Factor on the score for each element around a block that is a place of other prose, and for a block outside the article.
+BAR = 0.5  #: Factor for a block in a menu, list of links or bar, wherever that is.
 NAMED_SHARE, PLAIN_SHARE = 0.1, 0.3  #: Thresholds as shares of the page's score: where the article is named, and elsewhere.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -86,7 +93,8 @@ class Open:
     name: str
     block: bool
     out: bool  #: Text here is none of the page's.
-    other: int  #: Elements around, this one included, that are other parts of the page.
+    other: int  #: Elements around, this one included, that are places of other prose.
+    bar: bool  #: In a menu, list of links or bar.
     main: int  #: 0: outside; else how strongly the markup names this as the article.
     linked: bool  #: Inside a link.
     path: int = 0
@@ -101,6 +109,7 @@ class Block:
     node: int
     main: int
     other: int
+    bar: bool
     top: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -144,7 +153,8 @@ def _opened(name: str, raw: str, parent: Open | None) -> tuple[Open, str]:
         elif words & MAIN and not main and name in ("div", "section", "td"):
             main = 1
     around = parent.other if parent else 0
-    return Open(name, name not in INLINE, out, around + other, main, name == "a" or bool(parent and parent.linked)), ".".join([name, *sorted(named.split())])
+    bar = other and not (({name} & PARTS) | ({role} & ROLES) | ({"header"} if name == "header" and not main else set()) | words & not_it) - LINKS
+    return Open(name, name not in INLINE, out, around + (other and not bar), bar or bool(parent and parent.bar), main, name == "a" or bool(parent and parent.linked)), ".".join([name, *sorted(named.split())])
 
 
 def read(page: str) -> Page:
@@ -163,9 +173,9 @@ def read(page: str) -> Page:
         if now is None:
             if raw.isspace():
                 return
-            around = stack[-1] if stack else Open("", True, False, 0, 0, False)
+            around = stack[-1] if stack else Open("", True, False, 0, False, 0, False)
             near = next((o.name for o in reversed(stack) if o.block), "")
-            now = Block(near, around.path, around.node, around.main, around.other, around.top)
+            now = Block(near, around.path, around.node, around.main, around.other, around.bar, around.top)
         value = html.unescape(raw)
         now.parts.append(value)
         if stack and stack[-1].linked:
@@ -282,19 +292,20 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same")
 
 
-def path_ratios(page: Page, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of each path: characters and punctuation marks a block.
+def path_ratios(page: Page, top: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each path: characters and punctuation marks a block, and the share of its text that is no link.
 
-    Below the path ``top`` a path's ratio is halfway between its own and that of the path around it,
-    which at ``top`` itself is that of all it holds.
+    Below the path ``top`` a path's first two ratios are halfway between its own and those of the path around it,
+    which at ``top`` itself are those of all it holds.
     """
     at = np.array([b.path for b in page.blocks])
-    facts = np.array([[len(b.text), len(PUNCTUATION.findall(b.text)), 1] for b in page.blocks], float)
-    own = np.zeros((len(page.path_parent), 3))
+    facts = np.array([[len(b.text), len(PUNCTUATION.findall(b.text)), 1, b.linked] for b in page.blocks], float)
+    own = np.zeros((len(page.path_parent), 4))
     np.add.at(own, at, facts)
+    free = 1 - own[:, 3] / np.maximum(own[:, 0], 1)
     whole = sums(page.path_parent, at, facts)
-    own = np.where(own[:, 2:] > 0, own, whole)
-    ratio = own[:, :2] / np.maximum(own[:, 2:], 1)
+    own = np.where(own[:, 2:3] > 0, own, whole)
+    ratio = own[:, :2] / np.maximum(own[:, 2:3], 1)
     if top is not None:
         below = np.zeros(len(ratio), bool)
         below[top] = True
@@ -303,24 +314,26 @@ def path_ratios(page: Page, top: int | None = None) -> tuple[np.ndarray, np.ndar
             if below[page.path_parent[k]]:
                 below[k] = True
                 ratio[k] = 0.5 * ratio[k] + 0.5 * ratio[page.path_parent[k]]
-    return ratio[:, 0], ratio[:, 1]
+    return ratio[:, 0], ratio[:, 1], free
 
 
-def scores(page: Page, inside: np.ndarray | None = None, top: int | None = None) -> np.ndarray:
-    """A score for each path: its smoothed ratios fused, less for links, other parts and what is not ``inside``."""
-    at = np.array([b.path for b in page.blocks])
-    text, marks = (smoothed(r[at]) for r in path_ratios(page, top))
-    counts = np.array([[len(b.text), b.linked, 1] for b in page.blocks], float)
-    total = np.zeros((len(page.path_parent), 3))
-    np.add.at(total, at, counts)
-    free = np.maximum(0.15, 1 - total[:, 1] / np.maximum(total[:, 0], 1)) ** 2
+def priors(page: Page, inside: np.ndarray | None = None) -> np.ndarray:
+    """What names leave of each block's score; a bar pays once, wherever it lies, of the best that other text keeps."""
+    bar = np.array([b.bar for b in page.blocks])
     prior = OTHER ** np.array([b.other for b in page.blocks], float)
     if inside is not None:
-        prior = prior * np.where(inside, 1.0, OTHER)
-    fused = np.sqrt(text * (1 + marks)) * prior * free[at]
-    mean = np.zeros(len(total))
-    np.add.at(mean, at, fused)
-    return mean / np.maximum(total[:, 2], 1)
+        prior = prior * np.where(inside | bar, 1.0, OTHER)
+    return np.where(bar, BAR * prior * prior.max(where=~bar, initial=0 if not bar.all() else 1), prior)
+
+
+def scores(page: Page, inside: np.ndarray | None = None, top: int | None = None) -> np.ndarray:
+    """A score for each path: its smoothed ratios fused, less for other parts and what is not ``inside``."""
+    at = np.array([b.path for b in page.blocks])
+    text, marks, free = (r[at] for r in path_ratios(page, top))
+    fused = np.sqrt(smoothed(text) * (1 + smoothed(marks))) * np.maximum(0.15, free) ** 2 * priors(page, inside)
+    total = np.zeros((len(page.path_parent), 2))
+    np.add.at(total, at, np.stack([fused, np.ones(len(at))], axis=1))
+    return total[:, 0] / np.maximum(total[:, 1], 1)
 
 
 def region(page: Page, share: float = 0.7) -> tuple[np.ndarray, int | None]:
@@ -331,7 +344,7 @@ def region(page: Page, share: float = 0.7) -> tuple[np.ndarray, int | None]:
     Elsewhere the article is the innermost element that holds ``share`` of the scored text.
     """
     blocks = page.blocks
-    plain = np.array([max(0, len(b.text) - b.linked) for b in blocks]) * OTHER ** np.array([b.other for b in blocks], float)
+    plain = np.array([max(0, len(b.text) - b.linked) for b in blocks]) * OTHER ** np.array([b.other + b.bar for b in blocks], float)
     main = np.array([b.main for b in blocks])
     for level in (3, 2, 1):
         inside = main >= level
@@ -360,7 +373,7 @@ def chosen(page: Page) -> np.ndarray:
     level = (score * weight).sum() / max(weight.sum(), 1e-300)
     stays = score >= (PLAIN_SHARE if named is None else NAMED_SHARE) * level
     for i in range(len(blocks) - 2, -1, -1):  # a heading has few characters and no punctuation: it goes with what it heads
-        if blocks[i].name in HEADINGS and not blocks[i].linked and inside[i] == inside[i + 1] and blocks[i].other == blocks[i + 1].other:
+        if blocks[i].name in HEADINGS and not blocks[i].linked and inside[i] == inside[i + 1] and (blocks[i].other, blocks[i].bar) == (blocks[i + 1].other, blocks[i + 1].bar):
             stays[i] |= stays[i + 1]
     return stays
 

@@ -90,6 +90,65 @@ def test_pages_against_plain_path_ratios(seed):
     assert H.extract(page) == "\n".join(b[2] for b, ok in zip(blocks, plain_choice(blocks)) if ok)
 
 
+def plain_named(blocks, bars):
+    """Which of ``blocks`` (all in a named article) and ``bars`` (in menus outside it) stay, by loops over paths."""
+    top = ("article",)
+    every = [((*top, *b[0]), b[2], b[3]) for b in blocks] + [(b[0], b[2], b[3]) for b in bars]
+    facts = {}
+    for path, text, linked in every:
+        facts.setdefault(path, []).append((len(text), sum(c in ".,;:!?" for c in text), linked))
+    mean = lambda own: [sum(x[k] for x in own) / len(own) for k in (0, 1)]
+    under = lambda path: [x for p, own in facts.items() if p[: len(path)] == path for x in own]
+
+    def ratio(path):
+        own = mean(facts.get(path) or under(path))
+        if path == top:
+            return mean(under(top))
+        return [(a + b) / 2 for a, b in zip(own, ratio(path[:-1]))] if path[:1] == top else own
+
+    order = [x for x in every if x[0][:1] != top] + [x for x in every if x[0][:1] == top]  # menus come first
+    weight = {d: np.exp(-0.5 * d * d) for d in range(-2, 3)}
+    smooth = lambda x, i: x[i] if len(x) < 5 else sum(weight[d] * x[i + d] for d in weight if 0 <= i + d < len(x)) / sum(weight[d] for d in weight if 0 <= i + d < len(x))
+    text, marks = zip(*[ratio(x[0]) for x in order])
+    fused = []
+    for i, (path, _, _) in enumerate(order):
+        own = facts[path]
+        free = max(0.15, 1 - sum(x[2] for x in own) / sum(x[0] for x in own)) ** 2
+        fused.append((smooth(text, i) * (1 + smooth(marks, i))) ** 0.5 * free * (1 if path[:1] == top else H.BAR))
+    score = [np.mean([f for f, y in zip(fused, order) if y[0] == x[0]]) for x in order]
+    mass = [s * len(x[1]) for s, x in zip(score, order)]
+    level = sum(s * w for s, w in zip(score, mass)) / sum(mass)
+    return [x[1] for s, x in zip(score, order) if s >= H.NAMED_SHARE * level]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_pages_with_a_named_article(seed):
+    r = random.Random(1000 + seed)
+    page, blocks = page_of(r)
+    menus, bars = "", []
+    for k in range(r.randint(1, 4)):
+        linked = r.random() < 0.7
+        text = " ".join(r.choice(["home", "news,", "about", "all."]) for _ in range(r.choice([1, 1, 2, 3])))
+        menus += f'<nav class="n{k % 2}">' + (f"<a href=x>{text}</a>" if linked else text) + "</nav>"
+        bars.append(((f"nav.n{k % 2}",), (), text, len("".join(text.split())) if linked else 0))
+    found = H.read(f"{menus}<article>{page}</article>")
+    if 2 * sum(max(0, len(b[2]) - b[3]) for b in blocks) < sum(max(0, len(b[2]) - b[3]) for b in blocks) + H.OTHER * sum(max(0, len(b[2]) - b[3]) for b in bars):
+        return  # nothing but links in it: the name does not count
+    assert [b.text for b in found.blocks] == [b[2] for b in bars] + [b[2] for b in blocks]
+    assert H.extract(f"{menus}<article>{page}</article>").split("\n") == plain_named(blocks, bars)
+
+
+def test_ratios_decide(monkeypatch):
+    """With the same ratios for every path the menus stay; with their own, what reads like the article stays whatever it is called."""
+    page = f'<body><nav><a href=1>Home</a></nav><div class="breadcrumb"><a href=2>News</a></div><article>{TEXT}</article></body>'
+    assert H.extract(page) == WANT
+    prose = f'<body><div class="search"><p>Found here, it reads like all else.</p></div><article>{TEXT}</article></body>'
+    assert H.extract(prose) == f"Found here, it reads like all else.\n{WANT}"
+    same = lambda page, top=None: tuple(np.ones(len(page.path_parent)) for _ in range(3))
+    monkeypatch.setattr(H, "path_ratios", same)
+    assert H.extract(page) == f"Home\nNews\n{WANT}"
+
+
 TEXT = "<p>A first paragraph, with some text.</p><p>A second one, and more.</p>"
 WANT = "A first paragraph, with some text.\nA second one, and more."
 NAV = "<nav><a href=1>x</a> <a href=2>y</a></nav>"
