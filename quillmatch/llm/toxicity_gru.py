@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.shared import cache_of
+from quillmatch.llm.shared import cache_of, slices
 from quillmatch.llm.wordtable import WordTable, batches_of, gram_buckets, row_sums
 
 PER_LABEL = 1_200  #: Labelled documents of each label that are trained on, at most.
@@ -30,7 +30,8 @@ WORD_DIM = CHAR_DIM = 8
 CHAR_BUCKETS = 1 << 13
 LEAST_DOCS = 3  #: Training documents that a word has to be in to get an embedding of its own.
 WORDS = 20_000  #: Words with an embedding of their own, at most.
-EPOCHS, DOCS_A_STEP, RATE = 6, 32, 0.01
+EPOCHS, DOCS_A_STEP, RATE = 3, 32, 0.01
+LEAST_STEPS = 150  #: Few documents are gone over more often, until so many steps are taken.
 
 
 def normal(word: str) -> str:
@@ -164,6 +165,7 @@ def backward(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], x: n
     logit = pooled[0] @ p["o"][0] + pooled[1] @ p["o"][1] + p["c"][0]
     loss, d_logit = loss_at(logit)
     grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("E", "C")}
+    by_word = np.argsort(at.T.ravel(), kind="stable")
     grad["c"][0] = d_logit.sum()
     dx = np.zeros_like(x)
     both = sum(pooled[k] @ p["o"][k] for k in (0, 1))
@@ -189,7 +191,7 @@ def backward(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], x: n
             grad["U"][k][:, : 2 * h] += state.T @ d_zr
             grad["U"][k][:, 2 * h :] += (r * state).T @ d_c
             d_steps[t, :, : 2 * h], d_steps[t, :, 2 * h :] = d_zr, d_c
-        d_gates = row_sums(at.T.ravel(), d_steps.reshape(-1, 3 * h), len(own))
+        d_gates = row_sums(at.T.ravel(), d_steps.reshape(-1, 3 * h), len(own), by_word)
         grad["W"][k] = x.T @ d_gates
         grad["B"][k] = d_gates.sum(0)
         dx += d_gates @ p["W"][k].T
@@ -252,6 +254,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     rows_of = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int64) for own in split]
     own, flat, sizes = model.known(list(vocabulary))
     starts = np.cumsum(sizes) - sizes
+    epochs = max(epochs, -(-LEAST_STEPS * DOCS_A_STEP // len(texts)))
     for epoch in range(epochs):
         adam.rate = RATE * (1 if epoch < epochs * 0.6 else 0.3)
         order = rng.permutation(len(texts))
@@ -333,8 +336,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
         if key not in held:
             held.clear()
             held[key] = WordTable(own.projected, 6 * HIDDEN)
-        for batch in batches:
-            p = score_texts(own, held[key], batch.column("text").to_pylist())
+        for batch in slices(batches, 2):
+            p = np.round(score_texts(own, held[key], batch.column("text").to_pylist()), 6)  # beyond that it depends on what else is in the batch
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )

@@ -75,11 +75,11 @@ def gram_buckets(words: list[str], orders: tuple[int, ...], buckets: int) -> tup
     return np.concatenate(flat)[order].astype(np.int64), np.bincount(who, minlength=len(words))
 
 
-def row_sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` by ``index``, for 0 to ``n - 1``."""
+def row_sums(index: np.ndarray, values: np.ndarray, n: int, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``index``, for 0 to ``n - 1``; ``order`` is what sorts ``index``, if it is known."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(index):
-        order = np.argsort(index, kind="stable")
+        order = np.argsort(index, kind="stable") if order is None else order
         own = index[order]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         out[own[starts]] = np.add.reduceat(values[order], starts, axis=0)

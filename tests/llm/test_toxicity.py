@@ -57,8 +57,9 @@ def test_windows_overlap_and_cover():
 
 def test_held_out_accuracy(spark):
     rows = made(900, 4) + [(None, "x", 1), (5000, None, 1), (5001, "", None)]
+    rows += rows[:2] + [(6000, " ".join(t for _, t, y in rows[:900] if y == 0 and t), 0), (6001, " ".join(t for _, t, y in rows[:900] if y == 0 and t) + " " + BAD[0], 1)]  # repeated rows, long texts
     docs = spark.createDataFrame([(d, t, "clash") for d, t, _ in rows], "doc_id long, text string, score string")
-    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows if d != 6000 and d != 6001], "doc_id long, toxic int")
     got = G.toxicity(docs, labels).collect()
     assert len(got) == len(rows)
     truth = {d: y for d, _, y in rows if d is not None and d < 5000}
@@ -66,9 +67,20 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == rows[0][0]}) == 1  # repeated rows fare alike
+    assert {r["doc_id"]: r["predicted"] for r in got if r["doc_id"] in (6000, 6001)} == {6000: 0, 6001: 1}  # length alone is no evidence
     assert G.toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_few_labels_are_gone_over_more_often():
+    """Thirty toxic texts are enough to find others of their kind."""
+    train, held = made(90, 11), made(300, 12)
+    m = G.train([t for _, t, _ in train], [y for _, _, y in train])
+    p = G.score_texts(m, WordTable(m.projected, 6 * G.HIDDEN), [t for _, t, _ in held]) >= 0.5
+    y = np.array([y for _, _, y in held]) == 1
+    assert p[y].mean() > 0.8 and (~p[~y]).mean() > 0.9
+
+
 def test_one_label_only():
     m = G.train(["a b", "c"], [0, 0])
     assert (G.score_texts(m, WordTable(m.projected, 6 * G.HIDDEN), ["a", None, ""]) < 0.5).all()
