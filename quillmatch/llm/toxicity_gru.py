@@ -2,9 +2,10 @@
 
 Input of a word: an embedding of the word itself (if training saw it in several documents) and one of
 its character n-grams. The network reads windows of words in both directions, pools the states by
-attention and gives each window a logit. A text's logit is the log of the summed odds of all its
+attention and gives each window a logit. A text's logit is that of the power sum of the odds of all its
 overlapping windows, so one toxic window is enough. Training follows the same rule: a document's
-gradient goes to its windows by their share of the odds.
+gradient goes to its windows by their share of the sum. With a high power the highest window counts, so
+that length alone says little.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ CHAR_BUCKETS = 1 << 13
 LEAST_DOCS = 3  #: Training documents that a word has to be in to get an embedding of its own.
 WORDS = 20_000  #: Words with an embedding of their own, at most.
 EPOCHS, DOCS_A_STEP, RATE = 3, 32, 0.01
+POWER = 4.0  #: A text's odds are the sum of its windows' odds to this power, to one over it: n equal windows raise its logit by log(n) / POWER.
 LEAST_STEPS = 150  #: Few documents are gone over more often, until so many steps are taken.
 
 
@@ -106,29 +108,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def loss_of(logit: np.ndarray, owner: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss of documents from their windows' logits, and its gradient: log of summed odds, its sigmoid against the label."""
+def loss_of(logit: np.ndarray, owner: np.ndarray, label: np.ndarray, power: float = POWER) -> tuple[float, np.ndarray]:
+    """Loss of documents from their windows' logits, and its gradient: log of the power sum of odds, its sigmoid against the label."""
     docs = len(label)
     top = np.full(docs, -np.inf, np.float32)
     np.maximum.at(top, owner, logit)
-    odds = np.exp(logit - top[owner])
+    odds = np.exp(power * (logit - top[owner]))
     total = np.bincount(owner, odds, docs)
-    s = top + np.log(total)
+    s = top + np.log(total) / power
     loss = float((np.logaddexp(0, s) - label * s).mean())
     return loss, (((_sigmoid(s) - label) / docs)[owner] * odds / total[owner]).astype(np.float32)
 
 
-def gradient(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, mask: np.ndarray, owner: np.ndarray, label: np.ndarray, chunk: int = CHUNK) -> tuple[float, dict]:
+def gradient(model: Model, seen: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, mask: np.ndarray, owner: np.ndarray, label: np.ndarray, chunk: int = CHUNK, power: float = POWER) -> tuple[float, dict]:
     """Loss and gradient of documents given as windows (``at`` into the words ``seen``, ``owner``: document of a window).
 
     Of more than ``chunk`` windows all logits come first; the gradient is then added up chunk by chunk.
     """
     x = model.inputs(*seen)
     if len(at) <= chunk:
-        return backward(model, seen, x, at, mask, lambda logit: loss_of(logit, owner, label))
+        return backward(model, seen, x, at, mask, lambda logit: loss_of(logit, owner, label, power))
     gates = np.concatenate([x @ model.p["W"][k] + model.p["B"][k] for k in (0, 1)], axis=1)
     cuts = range(0, len(at), chunk)
-    loss, share = loss_of(np.concatenate([model.logits(gates, at[c : c + chunk], mask[c : c + chunk]) for c in cuts]), owner, label)
+    loss, share = loss_of(np.concatenate([model.logits(gates, at[c : c + chunk], mask[c : c + chunk]) for c in cuts]), owner, label, power)
     whole: dict = {}
     for c in cuts:
         _, grad = backward(model, seen, x, at[c : c + chunk], mask[c : c + chunk], lambda _, c=c: (loss, share[c : c + chunk]))
@@ -256,7 +258,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     starts = np.cumsum(sizes) - sizes
     epochs = max(epochs, -(-LEAST_STEPS * DOCS_A_STEP // len(texts)))
     for epoch in range(epochs):
-        adam.rate = RATE * (1 if epoch < epochs * 0.6 else 0.3)
+        early = epoch < epochs * 0.6
+        adam.rate, power = RATE * (1 if early else 0.3), 1.0 if early else POWER  # at first all windows of a text learn
         order = rng.permutation(len(texts))
         for a in range(0, len(order), DOCS_A_STEP):
             chosen = [i for i in order[a : a + DOCS_A_STEP] if split[i]]
@@ -268,7 +271,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             used, rows = np.unique(at[np.minimum(first[:, None] + steps, len(at) - 1)], return_inverse=True)
             n = sizes[used]
             grams = flat[np.repeat(starts[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            _, grad = gradient(model, (own[used], grams, n), rows.reshape(mask.shape), mask, doc, y[chosen])
+            _, grad = gradient(model, (own[used], grams, n), rows.reshape(mask.shape), mask, doc, y[chosen], power=power)
             adam.step(grad)
     return model
 
@@ -287,9 +290,9 @@ def score_texts(model: Model, table: WordTable, texts: list[str | None]) -> np.n
             logit[i : i + CHUNK] = model.logits(table.rows, at[np.minimum(f[:, None] + steps, max(len(at) - 1, 0))], mask)
         top = np.full(b - a, -np.inf)
         np.maximum.at(top, doc, logit)
-        total = np.bincount(doc, np.exp(logit - np.where(np.isfinite(top), top, 0)[doc]), b - a)
+        total = np.bincount(doc, np.exp(POWER * (logit - np.where(np.isfinite(top), top, 0)[doc])), b - a)
         with np.errstate(divide="ignore"):
-            s = np.where(np.isfinite(top), top + np.log(np.maximum(total, 1e-300)), float(model.p["c"][0]))
+            s = np.where(np.isfinite(top), top + np.log(np.maximum(total, 1e-300)) / POWER, float(model.p["c"][0]))
         out[a:b] = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
     return out
 

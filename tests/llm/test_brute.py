@@ -215,7 +215,8 @@ def test_scores_against_plain_loops():
     for text, score in zip(texts, got):
         words, odds = text.split(), 0.0
         for a in range(0, max(len(words) - G.WINDOW + G.STRIDE - 1, 0) // G.STRIDE * G.STRIDE + 1, G.STRIDE):
-            odds += np.exp(plain_logit(m, words, list(range(a, min(a + G.WINDOW, len(words))))))
+            odds += np.exp(plain_logit(m, words, list(range(a, min(a + G.WINDOW, len(words)))))) ** G.POWER
+        odds **= 1 / G.POWER
         assert abs(score - odds / (1 + odds)) < 1e-4
 
 
