@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.llm.grouping import hot_from, meet
-from quillmatch.llm.shared import delete, make_folder, shared_dir, written
+from quillmatch.llm.shared import written
+from quillmatch.sources.scratch import make_folder, new_path, remove
 
 BUCKETS = 64  #: Buckets of an index: a task of the anti-join reads one. To be set by the size that the index is to reach.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,7 +63,7 @@ class DigestIndex:
         """Removes what a delivery appended."""
         if self.entries().filter(F.col("delivery") == delivery).limit(1).count():
             self.spark.sql(f"ALTER TABLE {self.name} DROP PARTITION (delivery = '{delivery}')")
-            delete(self.spark, f"{self.path}/delivery={delivery}")
+            remove(self.spark, f"{self.path}/delivery={delivery}")
 
     def compact(self, into: str) -> "DigestIndex":
         """The same entries as an index in the new folder ``into`` with one delivery, ``all``: one sorted file a bucket, however many deliveries came."""
@@ -87,7 +88,7 @@ def exact_dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = written(digested(docs).withColumn("mark", F.monotonically_increasing_id()), "dedup-rows")
-    index = DigestIndex(spark, f"{shared_dir(spark)}/dedup-index-{uuid.uuid4().hex}", buckets)
+    index = DigestIndex(spark, new_path(spark, "dedup-index"), buckets)
     facts = rows.agg(F.count("*").alias("n"), F.floor((F.min("doc_id") / 2 + F.max("doc_id") / 2)).alias("middle")).first()
     upper = F.coalesce(F.col("doc_id") > F.lit(facts["middle"]), F.lit(False))
     index.ingest(rows.filter(upper), "upper")
@@ -96,7 +97,7 @@ def exact_dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     groups = sizes.join(index.entries().drop("delivery").hint("merge"), "digest").withColumn("group_size", F.col("n"))
     groups = written(groups.withColumnRenamed("mark", "keep_mark"), "dedup-groups")
     index.close()
-    delete(spark, index.path)
+    remove(spark, index.path)
     out = meet(rows, groups, "digest", hot_from(facts["n"]))
     return out.select("doc_id", "keep_id", "group_size", (F.col("mark") == F.col("keep_mark")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -14,41 +12,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.sources.scratch import new_path, remove
+
 #: Words of all the text contracts: runs of anything but space and \t\n\v\f\r.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8_000_000  #: Text that a task holds as Python objects at once; a longer text is one slice alone.
 
-_OWN_DIR: dict[str, str] = {}
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _CACHES: dict[str, dict] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the context was given.
-
-    Where a local session names none (tests, a laptop) a temporary folder is made once per application;
-    on a cluster that would lose rows, so there it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master or ""
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _OWN_DIR[app]
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     It cuts the lineage in a way that outlives executors, and it fixes values (row ids, sizes) that
-    later steps must see unchanged.
+    later steps must see unchanged. What ``discard`` did not delete before goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
@@ -59,26 +40,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes what ``written`` wrote for these tables; nothing that is still to be computed may read them."""
     for table in tables:
         if path := _PATHS.pop(table, None):
-            delete(table.sparkSession, path)
-
-
-def _placed(spark: SparkSession, path: str) -> tuple:
-    """A path of whatever store, with the file system that has it."""
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder with what is in it."""
-    place, store = _placed(spark, path)
-    store.delete(place, True)
-
-
-def make_folder(spark: SparkSession, path: str) -> None:
-    """Makes a folder if it is not there."""
-    place, store = _placed(spark, path)
-    store.mkdirs(place)
+            remove(table.sparkSession, path)
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
