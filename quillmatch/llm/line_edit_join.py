@@ -1,10 +1,11 @@
 """Line dedup by a segment-partition edit join.
 
-A line with a word goes if an earlier line of the corpus equals it or lies within ``EDITS`` edits of
-it; of two lines the shorter has to have ``PER_EDIT`` characters for each edit. For the near ones each
-distinct line is split into one segment more than its edits; two lines within the threshold share one
-of them whole, at a place that their lengths and the number of edits bound. Where fewer edits are
-allowed, lines have segments of their own. So segments are indexed by (length, number, hash) and every line probes the substrings
+A line with a word goes if an earlier line of the corpus equals it or lies within ``edits`` edits of
+it; with ``per_edit`` the shorter of two lines has to have so many characters for each edit (0: all lines may
+have all edits). For the near ones each distinct line is split into one segment more than its edits; two
+lines within the threshold share one of them whole, at a place that their lengths and the number of edits
+bound. Where fewer edits are allowed, lines have segments of their own. Lines of no more characters than edits have too few
+for the segments; these and the lines that they can reach meet at what deletions leave of them. So segments are indexed by (length, number, hash) and every line probes the substrings
 that can match an index entry of a line as long or shorter (length-aware, multi-match-aware
 selection); an index entry stands for the probe of the same key too. Candidates are verified where they meet, by a banded bit-parallel edit distance, so only
 lines that have to go leave a task, never pairs; keys that many lines share are dealt out in blocks.
@@ -13,6 +14,7 @@ lines that have to go leave a task, never pairs; keys that many lines share are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from quillmatch.llm.shared import as_row, discard, in_tasks, row_key, same_key,
 
 EDITS = 2
 LEAST = 1  #: Characters below which a line is left alone; lines without a word always are.
-PER_EDIT = 15  #: Characters that a line needs for each edit: shorter ones go as exact repeats only.
+PER_EDIT = 15  #: Default of the characters that a line needs for each edit, as near copies are those that differ in a small share; 0: none.
 SIGN_BITS = 24  #: Bits of a line's id that hold the parity of its characters' counts, by character bucket.
 SLICE = 300_000  #: Characters that are hashed, or of candidates that are compared, at once.
 BLOCK = 1024  #: Entries of one key that one task compares with as many others.
@@ -70,11 +72,18 @@ def selection(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def of_edits(lines: list[str], allowed: int, edits: int) -> np.ndarray:
+def edits_of(size: int, edits: int, per_edit: int) -> int:
+    """The edits between two lines of which the shorter has ``size`` characters."""
+    return min(edits, size // per_edit) if per_edit else edits
+
+
+def of_edits(lines: list[str], allowed: int, edits: int, per_edit: int) -> np.ndarray:
     """Which lines meet others within ``allowed`` edits: where the shorter of two allows so many, and the longer ones it may meet."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    most = (allowed + 1) * PER_EDIT - 1 + allowed
-    return np.flatnonzero((size >= allowed * PER_EDIT) & ((size <= most) | (allowed == edits)))
+    if not per_edit:
+        return np.arange(len(lines) if allowed == edits else 0)
+    most = (allowed + 1) * per_edit - 1 + allowed
+    return np.flatnonzero((size >= allowed * per_edit) & ((size <= most) | (allowed == edits)))
 
 
 def line_ids(line: str) -> tuple[int, int]:
@@ -112,7 +121,7 @@ def in_parts(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def signatures(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line: a parity sign, its index keys and its probe keys (0: no such probe)."""
+    """Of each line: a parity sign, its index keys and its probe keys (0: none, as a line is too short)."""
     size, start, mixed = _characters(lines)
     up, down = _powers(len(mixed) + 1)
     rolled = np.zeros(len(mixed) + 1, np.uint64)
@@ -131,9 +140,10 @@ def signatures(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np
         return place, base + (segment >= n - longer)
 
     index, probe = [], []
+    enough = size >= edits + 1
     for i in range(edits + 1):
         place, length = cut(size, i)
-        index.append(keys(start + place, length, i, size))
+        index.append(np.where(enough, keys(start + place, length, i, size), np.uint64(0)))
     for shorter, i, shift in selection(edits):
         of = np.maximum(size - shorter, edits + 1)
         place, length = cut(of, i)
@@ -144,6 +154,20 @@ def signatures(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np
     return sign, np.stack(index, axis=1), np.stack(probe, axis=1)
 
 
+def deletions(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of what up to ``edits`` deletions leave of each line of at most twice so many characters.
+
+    Two lines within ``edits`` edits have one of these in common. If one is too short for segments, both are as short as this.
+    """
+    row, key = [], []
+    for i, line in enumerate(lines):
+        if len(line) <= 2 * edits:
+            for left in {"".join(x) for n in range(max(0, len(line) - edits), len(line) + 1) for x in combinations(line, n)}:
+                row.append(i)
+                key.append(xxhash.xxh64_intdigest(left.encode(), seed=edits) | 1)
+    return np.array(row, np.int64), np.array(key, np.uint64)
+
+
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Which pairs lie within ``edits`` edits: all pairs advance together, one column of the band each step.
 
@@ -250,7 +274,7 @@ def key_map(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def entries(docs: DataFrame, least: int, edits: int, wanted: np.ndarray | None = None) -> DataFrame:
+def entries(docs: DataFrame, least: int, edits: int, per_edit: int, wanted: np.ndarray | None = None) -> DataFrame:
     """``key, line, probe`` of every line that may have an edit: its index entries (``probe`` 0) and probes (1).
 
     ``line`` is 40 bits of the line's hash and its parity sign. A task leaves out lines that it has
@@ -264,7 +288,8 @@ def entries(docs: DataFrame, least: int, edits: int, wanted: np.ndarray | None =
         key = np.concatenate([index, probe], axis=1)
         who = np.repeat(line, key.shape[1])
         what = np.tile(np.r_[np.zeros(index.shape[1]), np.ones(probe.shape[1])].astype(bool), len(line))
-        key = key.ravel()
+        row, left = deletions(lines, allowed)
+        key, who, what = np.r_[key.ravel(), left], np.r_[who, line[row]], np.r_[what, np.zeros(len(row), bool)]
         some = key != 0
         if wanted is not None:
             bit = (key >> np.uint64(8)) & np.uint64(FILTER_BITS - 1)
@@ -280,7 +305,7 @@ def entries(docs: DataFrame, least: int, edits: int, wanted: np.ndarray | None =
             for n in range(batch.num_rows + 1):
                 text = batch.column(0)[n].as_py() if n < batch.num_rows else None
                 for line in text.split("\n") if text else ():
-                    if len(line) >= max(least, PER_EDIT) and line.strip(SPACE):
+                    if len(line) >= max(least, per_edit) and line.strip(SPACE):
                         h = line_ids(line)[0]
                         if h not in seen:
                             if len(seen) > SEEN:
@@ -291,7 +316,7 @@ def entries(docs: DataFrame, least: int, edits: int, wanted: np.ndarray | None =
                             chars += len(line)
                 if held and (chars > SLICE or n == batch.num_rows):
                     for allowed in range(1, edits + 1):
-                        own = of_edits(held, allowed, edits)
+                        own = of_edits(held, allowed, edits, per_edit)
                         if len(own):
                             yield keyed([held[i] for i in own], np.array(ids, np.int64)[own], allowed)
                     held, ids, chars = [], [], 0
@@ -299,15 +324,15 @@ def entries(docs: DataFrame, least: int, edits: int, wanted: np.ndarray | None =
     return in_tasks(docs.select("text").filter("text is not null"), run, "key bigint, line bigint, probe boolean", text=0)
 
 
-def members(docs: DataFrame, least: int, edits: int) -> DataFrame:
+def members(docs: DataFrame, least: int, edits: int, per_edit: int) -> DataFrame:
     """``key, line, probe``: the entries of keys at which an index entry meets another line's entry."""
-    found = entries(docs, least, edits)
+    found = entries(docs, least, edits, per_edit)
     flags = found.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.min("probe").alias("all_probes"))
     meet = written(flags.filter("least <> most and not all_probes").select("key"), "lines-keys")
-    return entries(docs, least, edits, key_map(meet)).join(meet, "key", "left_semi").distinct()
+    return entries(docs, least, edits, per_edit, key_map(meet)).join(meet, "key", "left_semi").distinct()
 
 
-def bodies(docs: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
+def bodies(docs: DataFrame, wanted: np.ndarray, least: int, per_edit: int) -> DataFrame:
     """``line, h_a, h_b, body`` of the lines whose names are in a map; a task leaves out those that it has just seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +342,7 @@ def bodies(docs: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
             ids: list[tuple[int, int]] = []
             for text in batch.column(0).to_pylist():
                 for line in text.split("\n"):
-                    if len(line) >= max(least, PER_EDIT) and line.strip(SPACE):
+                    if len(line) >= max(least, per_edit) and line.strip(SPACE):
                         h = line_ids(line)
                         bit = (h[0] >> SIGN_BITS) & (FILTER_BITS - 1)
                         if int(wanted[bit >> 6]) >> (bit & 63) & 1 and h not in seen:
@@ -335,19 +360,19 @@ def bodies(docs: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
     return in_tasks(docs.select("text").filter("text is not null"), run, "line bigint, h_a bigint, h_b bigint, body string", text=0)
 
 
-def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int) -> DataFrame:
+def near_lines(docs: DataFrame, first: DataFrame, least: int, edits: int, per_edit: int) -> DataFrame:
     """``h_a, h_b`` of the distinct lines that an earlier distinct line lies within ``edits`` of, or what their lengths allow.
 
     ``first(h_a, h_b, at)`` has every distinct line's first place.
     """
-    met = written(members(docs, least, edits), "lines-members")
+    met = written(members(docs, least, edits, per_edit), "lines-members")
     short = F.shiftright("h_a", SIGN_BITS)
     names = met.select(F.shiftright("line", SIGN_BITS).alias("short")).distinct()
     places = first.withColumn("short", short).join(names, "short", "left_semi").select("h_a", "h_b", "at")
-    texts = bodies(docs, key_map(names.select(F.shiftleft("short", 8).alias("key"))), least).dropDuplicates(["h_a", "h_b"])
+    texts = bodies(docs, key_map(names.select(F.shiftleft("short", 8).alias("key"))), least, per_edit).dropDuplicates(["h_a", "h_b"])
     texts = written(texts.join(places, ["h_a", "h_b"]).select("line", "h_a", "h_b", "at", "body"), "lines-texts")
     cells = block_pairs(met, "key", "line", BLOCK).drop("key").join(texts, "line")
-    verifier = Verifier(edits)
+    verifier = Verifier(edits, per_edit)
     near = written(in_cells(cells, verifier, "h_a bigint, h_b bigint", verifier.finish).distinct(), "lines-near")
     discard(met, texts)
     return near
@@ -360,8 +385,8 @@ class Verifier:
     been found near an earlier one is the later line of no further candidate there.
     """
 
-    def __init__(self, edits: int):
-        self.edits, self.chars = edits, 0
+    def __init__(self, edits: int, per_edit: int = PER_EDIT):
+        self.edits, self.per_edit, self.chars = edits, per_edit, 0
         self.pairs: list[tuple[str, str, tuple[int, int]]] = []
         self.later: set[tuple[int, int]] = set()
 
@@ -407,7 +432,7 @@ class Verifier:
 
     def _verify(self) -> None:
         for allowed in range(1, self.edits + 1):
-            own = [p for p in self.pairs if min(self.edits, min(len(p[0]), len(p[1])) // PER_EDIT) == allowed]
+            own = [p for p in self.pairs if edits_of(min(len(p[0]), len(p[1])), self.edits, self.per_edit) == allowed]
             self.later.update(h for (_, _, h), ok in zip(own, within([x for x, _, _ in own], [y for _, y, _ in own], allowed)) if ok)
         self.pairs, self.chars = [], 0
 
@@ -427,11 +452,11 @@ def _place():
     return F.struct(F.col("rk_id").isNull().alias("no_id"), "rk_id", "rk_a", "rk_b", "line_no")
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per_edit: int = PER_EDIT) -> DataFrame:
     """``rk_a, rk_b, n_exact, n_near, dropped``: for each document (row key) that loses lines, which, from 0."""
     lines = written(lines_of(docs, least).distinct(), "lines-all")
     first = written(lines.groupBy("h_a", "h_b").agg(F.min(_place()).alias("at")), "lines-first")
-    near = near_lines(docs, first, least, edits).withColumn("near", F.lit(True))
+    near = near_lines(docs, first, least, edits, per_edit).withColumn("near", F.lit(True))
     known = written(first.join(near, ["h_a", "h_b"], "left"), "lines-known")
     discard(first)
     repeated = lines.join(known, ["h_a", "h_b"]).withColumn("again", ~_place().eqNullSafe(F.col("at")))
@@ -441,16 +466,17 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     )
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per_edit: int = PER_EDIT) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_lines, n_exact, n_near, dropped``.
 
     ``dropped`` numbers (from 0) the lines that go: those of at least ``least`` characters and a word
     that equal a line earlier in the corpus (``n_exact``), or else have an earlier distinct line within
-    ``edits`` edits and one edit for each ``PER_EDIT`` characters of the shorter (``n_near``). Order is by ``doc_id`` (null last), then a hash of the text, then line. Rows
+    ``edits`` edits and one edit for each ``per_edit`` characters of the shorter (``n_near``; 0: ``edits`` for
+    lines of any length). Order is by ``doc_id`` (null last), then a hash of the text, then line. Rows
     that repeat id and text are one document and lose the same lines. Null and empty texts have no
     lines; further columns are ignored; an empty table gives an empty result.
     """
-    gone = dropped_lines(docs, edits, least)
+    gone = dropped_lines(docs, edits, least, per_edit)
     n_lines = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     rows = docs.select("doc_id", *row_key(), F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"))
     out = rows.join(gone, same_key(rows, gone), "left")
@@ -458,14 +484,14 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataF
     return out.select("doc_id", "n_lines", zero("n_exact"), zero("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per_edit: int = PER_EDIT) -> DataFrame:
     """``docs`` without the dropped lines (``n_chars`` follows); documents of which no word is left go.
 
     Null and empty texts have no lines to lose and stay as they are; ties, repeated rows and the order
     of lines are those of ``line_dedup``; columns of any other name pass through; an empty table gives
     an empty result.
     """
-    gone = dropped_lines(docs, edits, least)
+    gone = dropped_lines(docs, edits, least, per_edit)
     whole = docs.select(as_row(docs), *row_key())
     out = whole.join(gone, same_key(whole, gone), "left").select("row", "dropped")
     names, at = docs.columns, docs.columns.index("text")
