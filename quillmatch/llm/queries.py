@@ -44,7 +44,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmatch.llm.line_edit_join import line_dedup
 
-    return line_dedup(_table(spark, sf_dir, "documents"))
+    return line_dedup(_table(spark, sf_dir, "documents"), per_edit=0)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
