@@ -85,3 +85,22 @@ def test_ocr(spark):
     got = ocr.best_text(images, words).withColumn("m", ocr.route(F.col("ocr_confidence"), F.col("ocr_text"))).orderBy("image_id").collect()
     assert list(map(tuple, got)) == [("i1", "Alphacet650", 85.0, "ocr"), ("i2", "", 0.0, "vision_fallback"), ("i3", "", 0.0, "vision_fallback")]
     assert ocr.candidates(spark, images).count() == 36
+
+
+def test_latency_is_exact(spark):
+    times = [(e, (i * i * 37 + i) % 200_003 + shift) for e, n, shift in (("a", 20_001, 0), ("b", 11, -100_000), (None, 2, 5_000_000_000)) for i in range(n)]
+    rows = [*times, ("a", None), ("none", None), ("one", 7)]
+    metrics = spark.createDataFrame(rows, "endpoint string, response_time_ms long")
+    cont, disc = ({r["endpoint"]: tuple(r)[1:] for r in store.latency(metrics, between).collect()} for between in (True, False))
+    assert set(cont) == set(disc) == {"a", "b", None, "none", "one"}
+    for e in cont:
+        own = sorted(t for x, t in rows if x == e and t is not None)
+        n = sum(x == e for x, _ in rows)
+        if not own:
+            assert cont[e] == disc[e] == (n, None, None, None)
+            continue
+        assert disc[e] == (n, own[-(-len(own) // 2) - 1], own[-(-len(own) * 95 // 100) - 1], own[-1])
+        for got, p in zip(cont[e][1:3], (0.5, 0.95)):
+            at = (len(own) - 1) * p
+            lo = own[int(at)]
+            assert abs(got - (lo + (own[min(int(at) + 1, len(own) - 1)] - lo) * (at - int(at)))) < 1e-6
