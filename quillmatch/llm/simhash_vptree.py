@@ -169,8 +169,10 @@ def sharded(distinct: DataFrame, radius: int, shard: int = SHARD, sample: int =
 def tree_links(block: np.ndarray, full: np.ndarray, p: np.ndarray, q: np.ndarray, home: np.ndarray, reach: int, radius: int) -> np.ndarray:
     """The smallest index that each fingerprint of a shard reaches over links between ``p`` and ``q`` of which one is at home.
 
-    A vantage-point tree over the block values of ``p`` is asked for all of ``q`` at once.
+    A vantage-point tree over the block values of ``p`` is asked for all of ``q`` at once. Of fingerprints
+    of several words (rows of ``full``) those within ``reach`` in the block alone are compared.
     """
+    root = np.arange(len(full))
     n, held = len(full), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     count = 0
 
@@ -198,8 +200,16 @@ def tree_links(block: np.ndarray, full: np.ndarray, p: np.ndarray, q: np.ndarray
             some = q[at : at + 4096]
             for pt in range(0, len(p), 256):
                 own = p[pt : pt + 256]
-                i, j = np.nonzero(np.bitwise_count(full[some][:, None] ^ full[own][None, :]) <= radius)
-                i, j = some[i], own[j]
+                if full.ndim == 1:
+                    i, j = np.nonzero(np.bitwise_count(full[some][:, None] ^ full[own][None, :]) <= radius)
+                    i, j = some[i], own[j]
+                else:
+                    i, j = np.nonzero(np.bitwise_count(block[some][:, None] ^ block[own][None, :]) <= reach)
+                    i, j = some[i], own[j]
+                    apart = root[i] != root[j]
+                    i, j = i[apart], j[apart]
+                    near = np.bitwise_count(full[i] ^ full[j]).sum(axis=1, dtype=np.int64) <= radius
+                    i, j = i[near], j[near]
                 keep = (i != j) & (home[i] | home[j])
                 held.append((i[keep], j[keep]))
                 count += int(keep.sum())
